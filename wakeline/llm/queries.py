@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import leaks, mixing, pieces, quality, runs, splits
+from wakeline.llm import leaks, mixing, pairs, pieces, quality, runs, splits
 from wakeline.llm.sql import SQL  # noqa: F401
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(_table(spark, d, "trajectories"), _table(spark, d, "documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.groups(_table(spark, d, "trajectories")).select(F.col("id").alias("trajectory_id"), "group_id")
 
@@ -77,4 +81,4 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(_table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_split, p3_shares, p4_found, p4_runs, p5_found, p5_pieces, p6_found, p6_passages, p7_found, p7_mix, p7_shares, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_split, p3_shares, p4_found, p4_runs, p5_found, p5_pieces, p6_found, p6_passages, p7_found, p7_mix, p7_shares, p8_found, p8_statistics)}
