@@ -186,7 +186,7 @@ def shred(df: DataFrame, key: str, text: str, groups: tuple[str, ...] | None = N
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, TRIPLES.format(key=kind))
+    return df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, TRIPLES.format(key=kind))
 
 
 def pivot(shredded: DataFrame, grp: str, names: list[str]) -> DataFrame:
