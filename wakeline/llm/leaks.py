@@ -204,7 +204,7 @@ def leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key:
     names = ["doc_key", "item_key", "part", "n_words", "n_changes"]
     kinds = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"doc_key {kinds[0]}, item_key {kinds[1]}, part string, n_words int, n_changes int"
-    rows = docs.select(F.col(doc_key), F.col(text).cast("string"))
+    rows = docs.select(F.col(doc_key).alias("k"), F.col(text).cast("string").alias("t"))
     out = None
     for block in _blocks(items, item_key, parts):
         sent = docs.sparkSession.sparkContext.broadcast(build_index(block, min_words, rate))

@@ -55,7 +55,7 @@ def token_sizes(docs: DataFrame, key: str, text: str, source: str, tokenizer: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(count, batch.column(2).to_pylist()), pa.int64())], names=["doc_key", "source", "n_tokens"])
 
-    return docs.select(F.col(key), source_key(F.col(source)), F.col(text).cast("string")).mapInArrow(run, f"doc_key {kind}, source string, n_tokens long")
+    return docs.select(F.col(key).alias("k"), source_key(F.col(source)).alias("s"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"doc_key {kind}, source string, n_tokens long")
 
 
 def cut_off_mean(rate: float, repeats: int) -> float:

@@ -292,7 +292,7 @@ def end_model(responses: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray,
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([ended[c] for c in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["c", "e", "n"])
 
-    rows = responses.select(F.col(text).cast("string")).mapInArrow(count, "c int, e long, n long")
+    rows = responses.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "c int, e long, n long")
     t = rows.groupBy("c").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).where(F.col("n") >= 1).toArrow()
     return tuple(t.column(c).to_numpy() for c in ("c", "e", "n"))
 
@@ -310,7 +310,7 @@ def defects(pairs: DataFrame, labelled: DataFrame, key: str = "trajectory_id", t
     sent = spark.sparkContext.broadcast((model, *ends))
     s = F.col(steps)
     said = F.zip_with(s["role"], s["content"], lambda r, c: F.when(r == "assistant", c))
-    rows = pairs.select(F.col(key).cast("string"), F.col(task), F.col(response), F.filter(said, lambda c: c.isNotNull()))
+    rows = pairs.select(F.col(key).cast("string").alias("k"), F.col(task).alias("t"), F.col(response).alias("r"), F.filter(said, lambda c: c.isNotNull()).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, c, e, n = sent.value

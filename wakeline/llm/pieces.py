@@ -184,7 +184,7 @@ def content_pieces(items: DataFrame, key: str, pos: str, text: str, limit: int =
     Null and empty texts and those within the limit give no rows. Repeated rows give repeated pieces. Texts go to Python only
     if they are above the limit. Other columns of `items` are not read.
     """
-    large = items.select(F.col(key).cast("string"), F.col(pos).cast("int"), F.col(text)).where(F.length(F.col(text)) > limit)
+    large = items.select(F.col(key).cast("string").alias("k"), F.col(pos).cast("int").alias("p"), F.col(text).alias("t")).where(F.length("t") > limit)
     return _mapped(large, lambda k, p, t: _content_rows("content", k, p, t, limit, overlap, with_text))
 
 
@@ -194,7 +194,7 @@ def step_pieces(items: DataFrame, key: str, steps: str, limit: int = STEPS_LIMIT
     had to be cut. forced: one turn alone is above the limit. Null lists and null steps count as empty."""
     s = F.col(steps)
     chars = F.aggregate(F.coalesce(s, F.array().cast(items.schema[steps].dataType)), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.length(x["content"]), F.lit(0)))
-    large = items.select(F.col(key).cast("string"), F.transform(s, lambda x: x["role"]).alias("_r"), F.transform(s, lambda x: x["content"]).alias("_c"), chars.alias("_n")).where(F.col("_n") > limit).drop("_n")
+    large = items.select(F.col(key).cast("string").alias("k"), F.transform(s, lambda x: x["role"]).alias("_r"), F.transform(s, lambda x: x["content"]).alias("_c"), chars.alias("_n")).where(F.col("_n") > limit).drop("_n")
     return _mapped(large, lambda k, r, c: _step_rows(k, r, c, limit, overlap, with_text))
 
 

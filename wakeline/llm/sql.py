@@ -1,3 +1,12 @@
 """SQL for the queries that it can express over whole tables."""
 
-SQL: dict[str, str] = {}
+_WS = "\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+SQL: dict[str, str] = {
+    "p5_found": f"""WITH c AS (SELECT DISTINCT run_id, pos, content FROM agent_steps WHERE length(content) > 4000),
+t AS (SELECT trajectory_id, any_value(steps) AS steps FROM trajectories GROUP BY trajectory_id), i AS (SELECT trajectory_id, steps, unnest(range(len(steps))) AS i FROM t),
+s AS (SELECT trajectory_id, i, steps[i + 1].role AS role, coalesce(length(steps[i + 1].content), 0) AS n FROM i), u AS (SELECT *, sum((role = 'assistant')::int) OVER (PARTITION BY trajectory_id ORDER BY i) AS turn FROM s),
+g AS (SELECT trajectory_id, turn, sum(n) AS n FROM u GROUP BY ALL)
+SELECT 'content' AS item_kind, run_id AS item_key, pos AS item_pos, (list_max(list_transform(regexp_split_to_array(content, '[{_WS}。！？]'), lambda x: length(x))) > 4000)::int AS forced FROM c
+UNION ALL SELECT 'steps', trajectory_id, -1, max((turn > 0 AND n > 12000)::int)::int FROM g GROUP BY trajectory_id HAVING sum(n) > 12000""",
+}
