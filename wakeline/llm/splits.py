@@ -5,9 +5,9 @@ found by alternating large and small stars: every round replaces each node's nei
 until only stars are left, which takes a number of rounds logarithmic in the longest chain. A run's node is named by its
 smallest record id and other nodes sort after all ids, so the centre of a star is the group's id.
 
-Groups go to splits by min-cost flow: groups of the same size class and label profile form a bundle; whole shares of a
-bundle are split in proportion, and what rounding leaves is assigned as a flow of least cost, where cost is the deviation
-from the quotas, of all records and of those of a label. Which groups of a bundle go where is decided by hash. Only
+Groups go to splits by min-cost flow: groups of the same size class and label profile form a bundle. From the largest
+size on, a bundle is split in proportion to what is left of the quotas, and what rounding leaves is assigned as a flow of
+least cost, where cost is the deviation from the quotas, of all records and of those of a label. Which groups of a bundle go where is decided by hash. Only
 bundles come to the driver; their number is bounded by SIZE_CLASSES x LABELS, however many groups there are.
 
 Hot keys: minima are combined before the shuffle, and joins on a hot key are split by adaptive execution.
@@ -194,24 +194,27 @@ def allocate(bundles: list[tuple[int, int, int]], shares: dict[str, float] = SHA
         by_label[label] = by_label.get(label, 0) + size * n
     due = [sum(by_label.values()) * p for p in part]
     label_due = {x: [w * p for p in part] for x, w in by_label.items()}
-    out, left = {}, {}
-    for size, label, n in bundles:
-        whole = [int(n * p + 1e-9) for p in part]
-        out[size, label], left[size, label] = whole, n - sum(whole)
-        for s in n_splits:
-            due[s] -= size * whole[s]
-            label_due[label][s] -= size * whole[s]
+    out: dict[tuple[int, int], list[int]] = {}
     step = lambda d, size, k: abs(d - size * (k + 1)) - abs(d - size * k)
     for size in sorted({s for s, _, _ in bundles}, reverse=True):
-        own = [(s, x) for s, x in out if s == size and left[s, x]]
-        units = sum(left[b] for b in own)
-        links = [[[0.3 * step(label_due[b[1]][s], size, k) for k in range(left[b])] for s in n_splits] for b in own]
-        sent = min_cost_flow([left[b] for b in own], links, [[step(due[s], size, k) for k in range(units + 1)] for s in n_splits])
-        for b, row in zip(own, sent):
+        own = [(x, n) for s, x, n in bundles if s == size]
+        open_due = [max(0.0, d) for d in due]  # what larger groups have left of the quotas
+        share = [d / sum(open_due) for d in open_due] if sum(open_due) > 0 else part
+        left = []
+        for label, n in own:
+            whole = [int(n * p + 1e-9) for p in share]
+            out[size, label] = whole
+            left.append(n - sum(whole))
+            for s in n_splits:
+                due[s] -= size * whole[s]
+                label_due[label][s] -= size * whole[s]
+        links = [[[0.3 * step(label_due[label][s], size, k) for k in range(u)] for s in n_splits] for (label, _), u in zip(own, left)]
+        sent = min_cost_flow(left, links, [[step(due[s], size, k) for k in range(sum(left) + 1)] for s in n_splits])
+        for (label, _), row in zip(own, sent):
             for s in n_splits:
-                out[b][s] += row[s]
+                out[size, label][s] += row[s]
                 due[s] -= size * row[s]
-                label_due[b[1]][s] -= size * row[s]
+                label_due[label][s] -= size * row[s]
     return out
 
 
