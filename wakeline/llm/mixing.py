@@ -27,7 +27,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 def source_key(source: Column) -> Column:
     """Sources in the form in which they are compared; blank ones are null."""
-    s = F.translate(F.lower(F.regexp_replace(source, r"^\s+|\s+$", "")), "- ", "__")
+    s = F.translate(F.lower(F.regexp_replace(source, r"^\s+|(?<!\s)\s+$", "")), "- ", "__")
     return F.when(s != "", s)
 
 

@@ -32,19 +32,19 @@ ECHO_SHARE, DECLINE_SHARE, LANGUAGE_MARGIN, END_LIKELIHOOD, ITEM_LIKELIHOOD, LEA
 _CJK = "㐀-鿿豈-﫿぀-ヿ가-힯"
 _WORD = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
 _INVISIBLE = re.compile(r"[​-‏⁠﻿­\x00-\x08]")
-_FENCE = re.compile(r"^\s*(?:```|~~~).*$", re.M)
-_FENCED = re.compile(r"^\s*(```|~~~)[^\n]*\n.*?^\s*\1[^\n]*$", re.M | re.S)
+_FENCE = re.compile(r"^[ \t]*(?:```|~~~).*$", re.M)
+_FENCED = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?^[ \t]*\1[^\n]*$", re.M | re.S)
 _TAG = re.compile(r"</?[A-Za-z][\w.-]*(?:\s[^<>]*)?/?>")
 _SPAN = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|「[^」\n]*」')
-_IDENT = re.compile(r"\S*[_/\\@#=<>{}\[\]]\S*|\S+\.\w+\b|\d+")
-_HEADING = re.compile(r"\s*(?:[#=*_>\s-]*\s*)?(?:\S+\s+){0,3}\S*[:：]\s*[*_]*\s*$")
+_IDENT = re.compile(r"[_/\\@#=<>{}\[\]]|\w\.\w")
+_CJK_RUN = re.compile(f"([{_CJK}，。、；：？！]+)")
 _MARK = re.compile(r"^\s*(?:[-*+•–>]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])(?:\s+|$)")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]»”]*\s+|(?<=[。！？])|;\s+")
-_CUT = re.compile(r"(?:[\[<(]\s*(?:\.{3}|…)?\s*(?:truncated|max[ _-]?tokens|token limit|cut(?: off)?|length limit|end of (?:output|buffer))[^\]>)]*[\]>)])\s*$", re.I)
+_CUT = re.compile(r"(?:[\[<(]\s*(?:\.{3}|…)?\s*(?:truncated|max[ _-]?tokens|token limit|cut(?: off)?|length limit|end of (?:output|buffer))[^\]>)]{0,80}[\]>)])\s*$", re.I)
 _OPEN_END = re.compile(r"[,:：，、(\[{（/=<&+\\]\s*$")
 _CLOSED = re.compile(r"(?:[.!?。！？](?:[\"')\]»”*_]|</\w+>)*)\s*$")
-_LABEL = re.compile(r"^\s*(?:[*_#>\s]*)(?:summary|resumen|resumo|résumé|zusammenfassung|итог|резюме|摘要|总结)\s*[:：]?[*_]*\s*[:：]?\s*", re.I)
+_LABEL = re.compile(r"^[*_#>\s]*(?:summary|resumen|resumo|résumé|zusammenfassung|итог|резюме|摘要|总结)\s*[:：]?[*_]*\s*[:：]?\s*", re.I)
 #: Texts that stand for no text.
 PLACEHOLDERS = frozenset("none null nil nan na n/a n.a todo tbd tba fixme empty placeholder undefined unknown pending blank summary untitled test xxx lorem".split()) | {"no summary", "not available", "not applicable", "no content", "to do", "to be done", "no data"}
 #: Ways to decline, by language: the writer speaks of themself.
@@ -75,12 +75,18 @@ def plain(text: str | None) -> str:
     return _TAG.sub("\n", _INVISIBLE.sub("", text or "")).strip()
 
 
+def is_heading(line: str) -> bool:
+    """A few words and a colon."""
+    t = line.rstrip(" *_")
+    return t.endswith((":", "：")) and len(t.strip("#=*_>- ").split()) <= 4
+
+
 def is_empty(text: str | None) -> bool:
     """Null, blank, or nothing but headings, placeholders and markup."""
     kept = []
     for line in _FENCE.sub("", plain(text)).split("\n"):
         bare = line.strip()
-        if not bare or bare.startswith("#") or _HEADING.fullmatch(line):
+        if not bare or bare.startswith("#") or is_heading(bare):
             continue
         kept.append(bare)
     rest = " ".join(kept).strip(" \t*_-–—•.:()[]{}<>/|\"'`~…=+").lower()
@@ -116,8 +122,8 @@ def echo_share(response: str, prompt: list[str], n: int = 3) -> float:
 
 def letters_of(text: str | None) -> str:
     """Natural language of the text: without code, quotations, identifiers, numbers and marks; lower case."""
-    t = _IDENT.sub(" ", _QUOTED.sub(" ", _SPAN.sub(" ", _FENCED.sub(" ", plain(text)))))
-    return " " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " "
+    t = _CJK_RUN.sub(r" \1 ", _QUOTED.sub(" ", _SPAN.sub(" ", _FENCED.sub(" ", plain(text)))))
+    return " " + " ".join(re.findall(r"[^\W\d_]+", " ".join(w for w in t.lower().split() if not _IDENT.search(w)))) + " "
 
 
 def grams(letters: str) -> np.ndarray:

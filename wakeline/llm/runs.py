@@ -32,7 +32,7 @@ VOLATILE = "|".join([
     r"\btmp[._-]?(?:[0-9a-f]{6,}|(?=[a-z_]*\d)[0-9a-z_]{6,})\b",
     r"\b\d{10,}\b",
     r"(\b(?:request|trace|span|session|correlation)[_-]?id\W{0,6})[\w-]+",
-    r"((?<![a-z0-9])(?:retry|retries|attempt|try|check|poll|pid|iteration|round|tick|heartbeat|nonce)(?:[ \t=:_-]|no\.|number)*#?)\d+",
+    r"((?<![a-z0-9])(?:retry|retries|attempt|try|check|poll|pid|iteration|round|tick|heartbeat|nonce)(?:[ \t=:_-]|no\.|number){0,8}#?)\d+",
     r"\b\d+(?:\.\d+)?(?=\s*(?:ms|s|secs?|seconds?|m|mins?|minutes?|h|hours?)\s+(?:elapsed|passed|gone|so far)\b)",
 ])
 _QUIET = r"""\\[nrtfbv]|[\s"'`\\\u200b\u2018\u2019\u201c\u201d\u00ab\u00bb\u00a0\u3000]"""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from wakeline.lineage import cut
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-EXACT_SIZE, LABELS, BUCKETS = 1000, 64, 1024
+EXACT_SIZE, LABELS, BUCKETS = 1000, 64, 1 << 14
 SIZE_CLASSES = EXACT_SIZE + 900 * 9
 MAX_ROUNDS = 60
 #: Sorts after every id in byte order.
