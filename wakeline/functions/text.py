@@ -9,7 +9,7 @@ WS = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(s, f"^{WS}+|(?<!{WS}){WS}+$", "")
 
 
 def is_blank(s: Column) -> Column:

@@ -1,16 +1,22 @@
 """Operators on ordered messages.
 
-The canonical form is long: one row per message with a trajectory key, a position and a role. `by_trajectory` shuffles on
-the trajectory key once; all window operators below then work on that partitioning without another exchange.
+The canonical form is long: one row per message with a trajectory key, a position and a role. What these operators need of
+the rows before a row (counts, the last value) is computed in two levels, so that a trajectory with a third of all rows is
+spread over tasks: a trajectory's positions are cut into blocks of BLOCK, rows see those before them in their block, and
+blocks see the sums of the blocks before them. Rows are shuffled once, by trajectory and block, and everything below works
+on that partitioning.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 1 << 14
+_B = "_block"
+
 
 @dataclass(frozen=True)
 class Keys:
@@ -20,18 +26,6 @@ class Keys:
     pos: str = "pos"
     role: str = "role"
 
-    @property
-    def within(self) -> WindowSpec:
-        return Window.partitionBy(self.traj).orderBy(self.pos)
-
-    @property
-    def before(self) -> WindowSpec:
-        return self.within.rowsBetween(Window.unboundedPreceding, -1)
-
-    @property
-    def whole(self) -> WindowSpec:
-        return Window.partitionBy(self.traj)
-
     def is_role(self, role: str) -> Column:
         return F.coalesce(F.col(self.role) == role, F.lit(False))
 
@@ -39,10 +33,46 @@ class Keys:
 K = Keys()
 
 
+def blocked(messages: DataFrame, k: Keys = K) -> DataFrame:
+    """Adds the block of each row and shuffles by trajectory and block, unless that has been done."""
+    if _B in messages.columns:
+        return messages
+    return messages.withColumn(_B, F.floor(F.col(k.pos) / BLOCK)).repartition(k.traj, _B)
+
+
+def unblocked(messages: DataFrame) -> DataFrame:
+    return messages.drop(_B)
+
+
 def once(messages: DataFrame, arrived: str, k: Keys = K) -> DataFrame:
-    """Messages of which each (trajectory, position) counts once, by the earliest arrival; one shuffle on the trajectory."""
-    w = Window.partitionBy(k.traj, k.pos).orderBy(arrived)
-    return messages.repartition(k.traj).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Messages of which each (trajectory, position) counts once, by the earliest arrival. The result is `blocked`."""
+    w = Window.partitionBy(k.traj, _B, k.pos).orderBy(arrived)
+    return blocked(messages, k).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def with_before(messages: DataFrame, k: Keys, counts: dict[str, Column], lasts: dict[str, Column] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, of the rows of the trajectory (and the columns `by`) before a row, each count's number of true rows, and each
+    last's last value that is not null; and the counts over the whole trajectory as `<name>_total`. The result is `blocked`."""
+    lasts = lasts or {}
+    rows = blocked(messages, k).withColumns({f"_c_{n}": F.coalesce(c.cast("long"), F.lit(0)) for n, c in counts.items()} | {f"_l_{n}": c for n, c in lasts.items()})
+    keys = [k.traj, *by]
+    block = rows.groupBy(*keys, _B).agg(*(F.sum(f"_c_{n}").alias(f"_s_{n}") for n in counts), *(F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), F.col(k.pos))).alias(f"_m_{n}") for n in lasts))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    carried = block.select(
+        *(F.col(c).alias(f"_k_{c}") for c in (*keys, _B)), *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in counts),
+        *(F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in counts), *(F.last(f"_m_{n}", ignorenulls=True).over(earlier).alias(f"_p_{n}") for n in lasts),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, _B)]
+    near = Window.partitionBy(*keys, _B).orderBy(k.pos).rowsBetween(Window.unboundedPreceding, -1)
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    out = rows.join(carried, on)
+    out = out.withColumns(
+        {n: F.col(f"_o_{n}") + F.coalesce(F.sum(f"_c_{n}").over(near), F.lit(0)) for n in counts} | {n: F.coalesce(F.last(f"_l_{n}", ignorenulls=True).over(near), F.col(f"_p_{n}")) for n in lasts}
+    )
+    return out.drop(*(f"_k_{c}" for c in (*keys, _B)), *(f"_c_{n}" for n in counts), *(f"_o_{n}" for n in counts), *(f"_l_{n}" for n in lasts), *(f"_p_{n}" for n in lasts))
 
 
 def from_nested(trajectories: DataFrame, key: str, steps: str) -> DataFrame:
@@ -50,24 +80,26 @@ def from_nested(trajectories: DataFrame, key: str, steps: str) -> DataFrame:
     return trajectories.select(key, F.posexplode(steps).alias("pos", "_s")).select(key, "pos", "_s.*")
 
 
-def chunk(messages: DataFrame, k: Keys = K) -> DataFrame:
-    """Adds chunk_id: a chunk ends with an assistant message; what follows the last one is a chunk too."""
-    return messages.withColumn("chunk_id", F.coalesce(F.sum(k.is_role("assistant").cast("int")).over(k.before), F.lit(0)).cast("int"))
+def _chunked(messages: DataFrame, k: Keys) -> DataFrame:
+    rows = with_before(messages, k, {"_a": k.is_role("assistant")})
+    return rows.withColumn("chunk_id", F.col("_a").cast("int")).drop("_a", "_a_total")
 
 
-def _tools_before(k: Keys) -> Column:
-    return F.coalesce(F.sum(k.is_role("tool").cast("int")).over(k.before), F.lit(0)).cast("int")
+def chunk(messages: DataFrame, k: Keys = K) -> DataFrame:
+    """Adds chunk_id: a chunk ends with an assistant message; what follows the last one is a chunk too."""
+    return unblocked(_chunked(messages, k))
 
 
-def _tools(k: Keys) -> Column:
-    return F.sum(k.is_role("tool").cast("int")).over(k.whole)
+def _with_tools(messages: DataFrame, k: Keys, **lasts: Column) -> DataFrame:
+    """Adds _t, the tool messages before a row, and _t_total."""
+    return with_before(messages, k, {"_t": k.is_role("tool")}, lasts)
 
 
 def last_turns(messages: DataFrame, n: int, k: Keys = K) -> DataFrame:
     """The last n turns and whatever follows them. A turn ends with a tool message; with fewer than n all messages stay."""
     if n <= 0:
-        return messages.limit(0)
-    return messages.withColumn("_b", _tools_before(k)).withColumn("_t", _tools(k)).where(F.col("_b") >= F.col("_t") - n).drop("_b", "_t")
+        return unblocked(messages.limit(0))
+    return unblocked(_with_tools(messages, k).where(F.col("_t") >= F.col("_t_total") - n).drop("_t", "_t_total"))
 
 
 def events(messages: DataFrame, content: str, calls: str, output: Column, k: Keys = K, masked: bool = False) -> DataFrame:
@@ -79,16 +111,18 @@ def events(messages: DataFrame, content: str, calls: str, output: Column, k: Key
     """
     call = F.try_element_at(F.col(calls), F.lit(1))
     text = F.coalesce(F.col(content), F.lit(""))
-    rows = messages.where(k.is_role("assistant") | k.is_role("tool")).withColumn("_b", _tools_before(k)).withColumn("_t", _tools(k))
+    rows = messages.where(k.is_role("assistant") | k.is_role("tool"))
     if masked:
-        known = F.last(F.when(k.is_role("assistant"), call["arguments"]), ignorenulls=True).over(k.within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        action = F.concat(text, F.lit("\nTool: "), known)
+        own = F.when(k.is_role("assistant"), call["arguments"])
+        rows = _with_tools(rows, k, _known=own)
+        action = F.concat(text, F.lit("\nTool: "), F.coalesce(own, F.col("_known")))
         shown = F.lit("\nEnvironment:\n[ENVIRONMENT OUTPUT MASKED]")
     else:
+        rows = _with_tools(rows, k)
         action = F.when(F.size(calls) > 0, F.concat(text, F.lit("\nTool("), F.coalesce(call["name"], F.lit("tool")), F.lit("): "), F.coalesce(call["arguments"], F.lit("{}")))).otherwise(text)
         shown = F.concat(F.lit("\nEnvironment:\n"), output)
     piece = F.when(k.is_role("assistant"), action).otherwise(shown)
-    parts = rows.where("_b < _t").select(k.traj, F.col("_b").alias("event_no"), F.struct(F.col(k.pos).alias("p"), piece.alias("x")).alias("_p"))
+    parts = rows.where("_t < _t_total").select(k.traj, F.col("_t").cast("int").alias("event_no"), F.struct(F.col(k.pos).alias("p"), piece.alias("x")).alias("_p"))
     gathered = parts.groupBy(k.traj, "event_no").agg(F.array_sort(F.collect_list("_p")).alias("_l"))
     return gathered.select(k.traj, "event_no", F.aggregate("_l", F.lit(""), lambda a, p: F.concat(a, p["x"])).alias("event"))
 
@@ -101,18 +135,19 @@ def relabel(messages: DataFrame, cut: int | None = None, k: Keys = K) -> DataFra
     """
     side = F.lit("prefix") if cut is None else F.when(F.col(k.pos) < cut, "prefix").otherwise("continuation")
     rows = messages.withColumn("side", side).withColumn("new_role", F.coalesce(F.col(k.role), F.lit("user"))).where("new_role <> 'system'")
-    before = F.lag("new_role").over(Window.partitionBy(k.traj, "side").orderBy(k.pos))
-    answer = (F.col("new_role") == "user") & (F.coalesce(before, F.lit("")) == "assistant")
+    rows = with_before(rows, k, {}, {"_before": F.col("new_role")}, by=("side",))
+    answer = (F.col("new_role") == "user") & (F.coalesce("_before", F.lit("")) == "assistant")
     rows = rows.withColumn("_a", answer)
-    return rows.withColumns({"new_role": F.when(F.col("_a"), "tool").otherwise(F.col("new_role")), "tool_name": F.when(F.col("_a"), "bash").otherwise("")}).drop("_a")
+    return unblocked(rows.withColumns({"new_role": F.when(F.col("_a"), "tool").otherwise(F.col("new_role")), "tool_name": F.when(F.col("_a"), "bash").otherwise("")}).drop("_a", "_before"))
 
 
 def validate(messages: DataFrame, calls: str, call_id: str, k: Keys = K) -> DataFrame:
     """trajectory, ok, bad_pos, missing_ids: the first assistant message of which a call is not answered by the tool messages
     that follow it without a gap; bad_pos and missing_ids are null where all are answered."""
-    group = F.sum((~k.is_role("tool")).cast("int")).over(k.within)
     ids = F.array_distinct(F.transform(F.filter(calls, lambda c: c.isNotNull() & c["id"].isNotNull()), lambda c: c["id"]))
-    per = messages.withColumn("_g", group).groupBy(k.traj, "_g").agg(
+    other = ~k.is_role("tool")
+    rows = with_before(messages, k, {"_g": other}).withColumn("_g", F.col("_g") + other.cast("int"))
+    per = rows.groupBy(k.traj, "_g").agg(
         F.max(F.when(k.is_role("assistant"), F.struct(F.col(k.pos).alias("p"), ids.alias("ids")))).alias("a"), F.collect_set(F.when(k.is_role("tool"), F.col(call_id))).alias("got")
     )
     wrong = per.select(k.traj, F.col("a.p").alias("p"), F.array_sort(F.array_except("a.ids", "got")).alias("m"))
@@ -121,11 +156,14 @@ def validate(messages: DataFrame, calls: str, call_id: str, k: Keys = K) -> Data
 
 
 def chunk_ends(messages: DataFrame, k: Keys = K) -> DataFrame:
-    """trajectory, chunk_id, end_len (messages up to the chunk's end), n_chunks, next_len (up to the next chunk's end, null at the last)."""
-    rows = chunk(messages, k).withColumn("_n", F.row_number().over(k.within))
-    ends = rows.groupBy(k.traj, "chunk_id").agg(F.max("_n").alias("end_len"))
-    order = Window.partitionBy(k.traj).orderBy("chunk_id")
-    return ends.withColumn("n_chunks", F.count("*").over(k.whole)).withColumn("next_len", F.lead("end_len").over(order))
+    """trajectory, chunk_id, end_len (messages up to the chunk's end), n_chunks, next_len (up to the next chunk's end, null at
+    the last). The next chunk's end is brought by its own row, so that no trajectory is ordered in one task."""
+    rows = with_before(messages, k, {"_a": k.is_role("assistant"), "_n": F.lit(1)})
+    ends = rows.groupBy(k.traj, F.col("_a").cast("int").alias("chunk_id")).agg((F.max("_n") + 1).cast("int").alias("_e"))
+    both = ends.select(k.traj, "chunk_id", F.col("_e").alias("end_len"), F.lit(None).cast("int").alias("next_len")).unionByName(ends.select(k.traj, (F.col("chunk_id") - 1).alias("chunk_id"), F.lit(None).cast("int").alias("end_len"), F.col("_e").alias("next_len")))
+    met = both.groupBy(k.traj, "chunk_id").agg(F.max("end_len").alias("end_len"), F.max("next_len").alias("next_len")).where("chunk_id >= 0")
+    total = met.groupBy(F.col(k.traj).alias("_t")).agg((F.max("chunk_id") + 1).cast("long").alias("n_chunks"))
+    return met.join(total, F.col(k.traj).eqNullSafe(F.col("_t"))).drop("_t")
 
 
 def branches(messages: DataFrame, n_rollouts: int = 1, max_points: int | None = None, sample_limit: int | None = None, seed_order: Column | None = None, k: Keys = K, margin: int = 5) -> DataFrame:
@@ -152,22 +190,24 @@ def branches(messages: DataFrame, n_rollouts: int = 1, max_points: int | None =
 
 def prefix_at(messages: DataFrame, step: int, k: Keys = K) -> DataFrame:
     """The messages of the chunks up to `step` without the last one; none of trajectories with too few chunks."""
-    rows = chunk(messages, k).withColumn("_n", F.max("chunk_id").over(k.whole) + 1).where((F.col("chunk_id") <= step) & (F.col("_n") > step))
-    return rows.withColumn("_last", F.max(k.pos).over(k.whole)).where(F.col(k.pos) < F.col("_last")).drop("_n", "_last", "chunk_id")
+    rows = _chunked(messages, k)
+    last = rows.groupBy(F.col(k.traj).alias("_t")).agg(F.max(F.when(F.col("chunk_id") <= step, F.col(k.pos))).alias("_last"), F.max("chunk_id").alias("_m")).where(F.col("_m") >= step)
+    kept = rows.where(F.col("chunk_id") <= step).join(last, F.col(k.traj).eqNullSafe(F.col("_t"))).where(F.col(k.pos) < F.col("_last"))
+    return unblocked(kept.drop("_t", "_last", "_m", "chunk_id"))
 
 
 def cut_at(messages: DataFrame, at: int, k: Keys = K) -> tuple[DataFrame, DataFrame]:
     """(before, from) the position."""
-    return messages.where(F.col(k.pos) < at), messages.where(F.col(k.pos) >= at)
+    rows = unblocked(messages)
+    return rows.where(F.col(k.pos) < at), rows.where(F.col(k.pos) >= at)
 
 
 def middle(messages: DataFrame, keep_first: int, n_turns: int, k: Keys = K) -> DataFrame:
     """The messages between the first `keep_first` and the last n turns (everything after the first where n is 0)."""
-    rows = messages.withColumn("_n", F.row_number().over(k.within) - 1)
-    if n_turns <= 0:
-        return rows.where(F.col("_n") >= keep_first).drop("_n")
-    rows = rows.withColumn("_b", _tools_before(k)).withColumn("_t", _tools(k))
-    return rows.where((F.col("_n") >= keep_first) & (F.col("_b") < F.col("_t") - n_turns)).drop("_n", "_b", "_t")
+    rows = with_before(messages, k, {"_n": F.lit(1), "_t": k.is_role("tool")}).where(F.col("_n") >= keep_first)
+    if n_turns > 0:
+        rows = rows.where(F.col("_t") < F.col("_t_total") - n_turns)
+    return unblocked(rows.drop("_n", "_t", "_n_total", "_t_total"))
 
 
 def z_context(messages: DataFrame, summaries: DataFrame, content: str, max_size: int = 20, keep_first: int = 4, k: Keys = K) -> DataFrame:
@@ -177,7 +217,7 @@ def z_context(messages: DataFrame, summaries: DataFrame, content: str, max_size:
     """
     n_turns = (max_size // 2 - keep_first) // 2
     cols = [k.traj, k.pos, k.role, content]
-    first = messages.withColumn("_n", F.row_number().over(k.within)).where(F.col("_n") <= keep_first).select(F.lit(0).alias("part"), *cols)
+    first = messages.withColumn("_n", F.row_number().over(Window.partitionBy(k.traj).orderBy(k.pos))).where(F.col("_n") <= keep_first).select(F.lit(0).alias("part"), *cols)  # cut to so many before the shuffle
     told = summaries.select(F.lit(1).alias("part"), k.traj, F.lit(0).alias(k.pos), F.lit("user").alias(k.role), F.concat(F.lit("<summary>\n"), F.coalesce("summary", F.lit("")), F.lit("\n</summary>")).alias(content))
     last = last_turns(messages, n_turns, k).select(F.lit(2).alias("part"), *cols)
     return first.unionByName(told).unionByName(last)
@@ -185,7 +225,7 @@ def z_context(messages: DataFrame, summaries: DataFrame, content: str, max_size:
 
 def x_context(messages: DataFrame) -> DataFrame:
     """The context a summary is measured against: the messages as they are."""
-    return messages
+    return unblocked(messages)
 
 
 def task_of(messages: DataFrame, content: str, k: Keys = K) -> DataFrame:
@@ -215,7 +255,7 @@ def continuation_delta(full: Column, context: Column) -> Column:
 def describe(messages: DataFrame, content: str, k: Keys = K) -> DataFrame:
     """trajectory, n_messages, n_chunks, n_turns, n_lines, n_chars."""
     c = F.coalesce(F.col(content), F.lit(""))
-    return chunk(messages, k).groupBy(k.traj).agg(
+    return _chunked(messages, k).groupBy(k.traj).agg(
         F.count("*").alias("n_messages"), (F.max("chunk_id") + 1).cast("long").alias("n_chunks"), F.sum(k.is_role("tool").cast("long")).alias("n_turns"),
         F.sum((F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("long")).alias("n_lines"), F.sum(F.length(c).cast("long")).alias("n_chars"),
     )
