@@ -143,7 +143,3 @@ def test_report(gold: DataFrame, statuses: DataFrame, key: str, test: str, kind:
     rows = gold.join(statuses.select(key, test, status).distinct(), [key, test], "left")
     good = F.coalesce(F.col(status).isin(list(passed)), F.lit(False))
     return rows.groupBy(key, kind).agg(F.array_sort(F.collect_set(F.when(good, F.col(test)))).alias("success"), F.array_sort(F.collect_set(F.when(~good, F.col(test)))).alias("failure"))
-
-
-#: Rewards by name; each maps a table with a summary and what the reward needs to a column.
-REWARDS = {"distortion": distortion_reward}

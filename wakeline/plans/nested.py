@@ -27,4 +27,23 @@ def p1_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_steps, p1_calls)}
-SQL: dict[str, str] = {}
+
+#: Elements of the step lists (e) and the tool calls in them (c) of every complete record.
+_CALLS = """WITH l AS (SELECT raw_id, TRY_CAST(line AS JSON) AS j FROM trajectory_lines WHERE json_valid(line)),
+r AS (SELECT raw_id, CASE WHEN json_type(j, '$.record') = 'OBJECT' AND json_type(j, '$.steps') IS NULL AND json_type(j, '$.continuation') IS NULL THEN j -> '$.record' ELSE j END AS r FROM l),
+s AS (SELECT raw_id, side, r -> ('$.' || side) AS a FROM r, (VALUES ('steps'), ('continuation')) v(side) WHERE json_type(r, '$.' || side) = 'ARRAY'),
+e AS (SELECT raw_id, side, a, unnest(range(json_array_length(a)::bigint))::int AS step_pos FROM s),
+t AS (SELECT raw_id, side, step_pos, a -> ('$[' || step_pos || '].tool_calls') AS tc FROM e),
+c0 AS (SELECT *, unnest(range(CASE json_type(tc) WHEN 'ARRAY' THEN json_array_length(tc)::bigint WHEN 'OBJECT' THEN 1 ELSE 0 END))::int AS call_pos FROM t WHERE tc IS NOT NULL),
+c AS (SELECT raw_id, side, step_pos, call_pos, CASE json_type(tc) WHEN 'ARRAY' THEN tc -> ('$[' || call_pos || ']') ELSE tc END AS c FROM c0)"""
+_ELEMENT = "a -> ('$[' || step_pos || ']')"
+
+SQL: dict[str, str] = {
+    "p1_found": f"""{_CALLS},
+a AS (SELECT raw_id, side, step_pos, call_pos, coalesce(CASE WHEN json_type(c, '$.function') = 'OBJECT' THEN c -> '$.function.arguments' END, c -> '$.arguments') AS a FROM c WHERE json_type(c) = 'OBJECT'),
+v AS (SELECT raw_id, side, step_pos, call_pos, CASE WHEN json_type(a) IN ('OBJECT', 'ARRAY') THEN a WHEN json_type(a) = 'VARCHAR' AND json_valid(a ->> '$') THEN TRY_CAST(a ->> '$' AS JSON) END AS v FROM a),
+w AS (SELECT raw_id, side, step_pos, call_pos, CASE WHEN json_type(v) IN ('OBJECT', 'ARRAY') THEN v ELSE '{{}}'::JSON END AS v FROM v)
+SELECT DISTINCT raw_id, side, step_pos, call_pos, regexp_replace(x.fullkey, '^[$][.]?', '') AS arg_path FROM w, json_tree(w.v) x WHERE x.type NOT IN ('OBJECT', 'ARRAY') OR x.value::varchar IN ('{{}}', '[]')""",
+    "p1_steps": f"{_CALLS} SELECT raw_id, side, step_pos, {_ELEMENT} ->> '$.role' AS role, {_ELEMENT} ->> '$.content' AS content, {_ELEMENT} ->> '$.tool_call_id' AS tool_call_id, {_ELEMENT} ->> '$.name' AS name FROM e",
+    "p1_calls": f"{_CALLS} SELECT raw_id, side, step_pos, call_pos, coalesce(c ->> '$.function.name', c ->> '$.name') AS name, c ->> '$.id' AS id FROM c WHERE json_type(c) = 'OBJECT'",
+}

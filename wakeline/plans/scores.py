@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import diff, render, text
 from wakeline.operators import scoring as C
-from wakeline.operators import sequence as S
 from wakeline.plans.tables import table
 
 
