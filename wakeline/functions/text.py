@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 
 
+#: The characters of WS, one by one: trimming by a set of characters is linear, which a pattern at the end of a text is not.
+WS_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{WS}+|(?<!{WS}){WS}+$", "")
+    return F.btrim(s, F.lit(WS_CHARS))
 
 
 def is_blank(s: Column) -> Column:
