@@ -90,3 +90,25 @@ def test_long_values_and_lone_surrogates(spark):
     text = '{"steps":[{"role":"assistant","tool_calls":[{"name":"f","arguments":{"\\ud800":"' + "x" * 300_000 + '"}}]}]}'
     rows = nested.arguments(nested.shred(spark.createDataFrame([("k", text)], "id string, line string"), "id", "line")).collect()
     assert [(r.arg_path, len(r.arg_value)) for r in rows] == [("?", 300_000)]
+
+
+def test_no_leaf_of_a_record_is_lost():
+    calls = [{"name": "f", "arguments": {}, "id": "c", "type": "x"}, None, 7, {"id": "d", "name": "outer", "arguments": 1, "function": {"name": "g", "arguments": {}, "strict": True}}, {"function": "h"}]
+    step = {"role": "assistant", "tool_calls": calls, "usage": {"tokens": {"in": 1}}, "extra": [{"exit.code": None}]}
+    text = json.dumps({"version": "2", "record": {"trajectory_id": "t", "task": "x", "steps": [step, "loose", {"tool_calls": "none"}], "continuation": {"a": []}, "cost": 1.5}})
+    got = {(g, *o[:-1], f["path"]): (f["kind"], f["value"]) for g, o, f in nested.triples(text) if g.endswith(nested.FURTHER)}
+    assert got == {
+        ("envelope+", "version"): ("string", "2"), ("+", "cost"): ("number", "1.5"), ("+", "continuation.a"): ("list", "[]"),
+        ("steps[]+", 0, "usage.tokens.in"): ("number", "1"), ("steps[]+", 0, "extra[0].exit.code"): ("null", None), ("steps[]+", 0, "tool_calls[1]"): ("null", None), ("steps[]+", 0, "tool_calls[2]"): ("number", "7"),
+        ("steps[]+", 1, ""): ("string", "loose"), ("steps[]+", 2, "tool_calls"): ("string", "none"), ("steps[].tool_calls[]+", 0, 0, "type"): ("string", "x"),
+        ("steps[].tool_calls[]+", 0, 3, "name"): ("string", "outer"), ("steps[].tool_calls[]+", 0, 3, "arguments"): ("number", "1"), ("steps[].tool_calls[]+", 0, 3, "function.strict"): ("boolean", "true"),
+        ("steps[].tool_calls[]+", 0, 4, "function"): ("string", "h"),
+    }
+
+
+def test_further_table_names_parents(spark):
+    text = json.dumps({"version": 2, "record": record([{"name": "f", "type": "x"}], cost=None)})
+    made = nested.further(nested.shred(spark.createDataFrame([(1, text)], "raw_id long, line string"), "raw_id", "line"))
+    assert {tuple(r) for r in made.collect()} == {
+        (1, "envelope", None, None, None, "version", "number", "2"), (1, "record", None, None, None, "cost", "null", None), (1, "step", "steps", 0, None, "", "null", None), (1, "call", "steps", 1, 0, "type", "string", "x"),
+    }

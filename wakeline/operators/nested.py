@@ -6,7 +6,8 @@ ordinals) identifies a row and the ordinals without the last one identify its pa
 parser together, as a map from path to value; a table is then one group with some of its paths pivoted to columns.
 Nothing is shuffled: all triples of a record come from one text.
 
-Dynamic subtrees (tool-call arguments) are not pivoted, as their paths are data: each leaf becomes a row of its own.
+Dynamic subtrees (tool-call arguments) are not pivoted, as their paths are data: each leaf becomes a row of its own. So do
+the optional and unknown keys of envelopes, records, steps and calls, which no column holds (`further`).
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from wakeline.names import fresh
 
 SIDES = ("steps", "continuation")
+RECORD_FIELDS = ("trajectory_id", "task", "summary", "metadata")
+STEP_FIELDS = ("role", "content", "tool_call_id", "name")
+FURTHER = "+"
 TRIPLES = "record_key {key}, grp string, ordinals array<int>, fields map<string,string>"
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null))')
 
@@ -132,12 +136,57 @@ def record_of(value) -> dict | None:
     return inner if isinstance(inner, dict) and not any(s in value for s in SIDES) else value
 
 
-def triples(text: str | None) -> Iterator[tuple[str, list[int], dict[str, str | None]]]:
-    """(group, ordinals, {path: value}) of every row that a record's text holds."""
+def _filled(part) -> bool:
+    return isinstance(part, list) and bool(part)
+
+
+def _unheld(owner: dict, held) -> Iterator[tuple[str, object]]:
+    rest = {k: v for k, v in owner.items() if k not in held}
+    return leaves(rest) if rest else iter(())
+
+
+def _call_leaves(call: dict) -> Iterator[tuple[str, object]]:
+    function = call.get("function")
+    if not isinstance(function, dict):
+        return _unheld(call, ("name", "id", "arguments"))
+    inner = {k: v for k, v in function.items() if k not in ("name", "arguments")}
+    held = {"id"} | ({"arguments"} if "arguments" not in function else set()) | ({"function"} if function and not inner else set())
+    return _unheld(call | {"function": inner}, held)
+
+
+def further_leaves(value) -> Iterator[tuple[str, list[int], str, object]]:
+    """(group, ordinals, path, leaf) of every leaf of a record that the other tables have no column or row for: unknown keys, and
+    parts that are not of the expected kind, such as an element of `tool_calls` that is no object. The path starts at the
+    envelope, record, step or call that the leaf belongs to."""
+    record = record_of(value)
+    if record is None:
+        return
+    if record is not value:
+        yield from (("envelope", [], p, x) for p, x in _unheld(value, ("record",)))
+    yield from (("", [], p, x) for p, x in _unheld(record, {*RECORD_FIELDS, *(s for s in SIDES if _filled(record.get(s)))}))
+    for side in SIDES:
+        for s, step in enumerate(record[side] if _filled(record.get(side)) else []):
+            if not isinstance(step, dict):
+                yield from ((f"{side}[]", [s], p, x) for p, x in leaves(step))
+                continue
+            yield from ((f"{side}[]", [s], p, x) for p, x in _unheld(step, {*STEP_FIELDS, *(("tool_calls",) if isinstance(step.get("tool_calls"), dict) or _filled(step.get("tool_calls")) else ())}))
+            calls = step.get("tool_calls")
+            for c, call in enumerate(calls if isinstance(calls, list) else [calls] if isinstance(calls, dict) else []):
+                if isinstance(call, dict):
+                    yield from ((f"{side}[].tool_calls[]", [s, c], p, x) for p, x in _call_leaves(call))
+                else:
+                    yield from ((f"{side}[]", [s], f"tool_calls[{c}]{'.' if p[:1] not in ('', '[') else ''}{p}", x) for p, x in leaves(call))
+
+
+def triples(text: str | None, further: bool = True) -> Iterator[tuple[str, list[int], dict[str, str | None]]]:
+    """(group, ordinals, {path: value}) of every row that a record's text holds; with or without the groups of `further`."""
     ok, value = parse(text)
     record = record_of(value) if ok else None
     if record is None:
         return
+    if further:
+        for i, (group, ordinals, path, leaf) in enumerate(further_leaves(value)):
+            yield group + FURTHER, [*ordinals, i], {"path": _text(path), "kind": _kind(leaf), "value": _text(leaf)}
     yield "", [], {k: _text(v) for k, v in record.items() if k not in SIDES}
     for side in SIDES:
         steps = record.get(side)
@@ -168,6 +217,7 @@ def shred(df: DataFrame, key: str, text: str, groups: tuple[str, ...] | None = N
     object give no rows. A null key stays null. Repeated texts count under each key. Other columns of `df` are not read.
     """
     keep = None if groups is None else frozenset(groups)
+    more = keep is None or any(g.endswith(FURTHER) for g in keep)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +226,7 @@ def shred(df: DataFrame, key: str, text: str, groups: tuple[str, ...] | None = N
             schema = schema or pa.schema([("record_key", batch.schema.field(0).type), ("grp", pa.string()), ("ordinals", pa.list_(pa.int32())), ("fields", pa.map_(pa.string(), pa.string()))])
             cols: tuple[list, list, list, list] = ([], [], [], [])
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for grp, ords, fields in triples(t):
+                for grp, ords, fields in triples(t, more):
                     if keep is None or grp in keep:
                         for c, v in zip(cols, (k, grp, ords, [(_text(n), v) for n, v in fields.items()])):
                             c.append(v)
@@ -213,12 +263,12 @@ def _field(name: str) -> Column:
 
 def records(shredded: DataFrame) -> DataFrame:
     """One row per record: record_key, trajectory_id, task, summary, metadata (JSON text)."""
-    return shredded.where(F.col("grp") == "").select("record_key", *map(_field, ("trajectory_id", "task", "summary", "metadata")))
+    return shredded.where(F.col("grp") == "").select("record_key", *map(_field, RECORD_FIELDS))
 
 
 def steps(shredded: DataFrame) -> DataFrame:
     """One row per step, child of records: record_key, side, step_pos (null elements count), role, content, tool_call_id, name."""
-    return _sided(shredded, "", F.col("ordinals")[0].alias("step_pos"), *map(_field, ("role", "content", "tool_call_id", "name")))
+    return _sided(shredded, "", F.col("ordinals")[0].alias("step_pos"), *map(_field, STEP_FIELDS))
 
 
 def calls(shredded: DataFrame) -> DataFrame:
@@ -237,3 +287,17 @@ def arguments(shredded: DataFrame) -> DataFrame:
 
 
 ARGUMENT_GROUPS = tuple(f"{s}[].tool_calls[].arguments" for s in SIDES)
+_PARTS = {"envelope": "envelope", "": "record", **{f"{s}[]": "step" for s in SIDES}, **{f"{s}[].tool_calls[]": "call" for s in SIDES}}
+FURTHER_GROUPS = tuple(g + FURTHER for g in _PARTS)
+
+
+def further(shredded: DataFrame) -> DataFrame:
+    """One row per leaf that no other table holds (see `further_leaves`), child of the envelope or record by record_key, of steps
+    by (record_key, side, step_pos), of calls by these and call_pos: part (envelope, record, step, call), path, kind, value."""
+    o, grp = F.col("ordinals"), F.col("grp")
+    part = F.create_map(*(F.lit(x) for g, p in _PARTS.items() for x in (g + FURTHER, p)))
+    place = lambda i: F.when(F.size(o) > i + 1, F.get(o, F.lit(i)))
+    side = F.when(F.size(o) > 1, F.regexp_extract(grp, r"^(\w+)\[", 1))
+    return shredded.where(grp.isin(list(FURTHER_GROUPS))).select(
+        "record_key", F.element_at(part, grp).alias("part"), side.alias("side"), place(0).alias("step_pos"), place(1).alias("call_pos"), *map(_field, ("path", "kind", "value")),
+    )
