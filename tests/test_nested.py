@@ -112,3 +112,16 @@ def test_further_table_names_parents(spark):
     assert {tuple(r) for r in made.collect()} == {
         (1, "envelope", None, None, None, "version", "number", "2"), (1, "record", None, None, None, "cost", "null", None), (1, "step", "steps", 0, None, "", "null", None), (1, "call", "steps", 1, 0, "type", "string", "x"),
     }
+
+
+def test_lists_anywhere_make_groups(spark):
+    step = {"role": "tool", "content": [{"type": "text", "text": "x"}, "y"], "tool_calls": [{"name": "f", "arguments": {"l": [1]}, "tags": ["u"]}]}
+    text = json.dumps({"labels": ["v"], "record": {"metadata": {"authors": [{"name": "a", "roles": ["r", "s"]}, {"name": "b"}]}, "grid": [[1], [2, {}]], "steps": [step]}})
+    made = nested.shred(spark.createDataFrame([(1, text)], "raw_id long, line string"), "raw_id", "line").persist()
+    assert {tuple(r)[1:] for r in nested.repeated(made).collect()} == {
+        ("(envelope).labels[]", "0", "", "v"), ("metadata.authors[]", "0", "name", "a"), ("metadata.authors[].roles[]", "0,0", "", "r"), ("metadata.authors[].roles[]", "0,1", "", "s"), ("metadata.authors[]", "1", "name", "b"),
+        ("grid[][]", "0,0", "", "1"), ("grid[][]", "1,0", "", "2"), ("grid[][]", "1,1", "", "{}"), ("steps[].content[]", "0,0", "type", "text"), ("steps[].content[]", "0,0", "text", "x"), ("steps[].content[]", "0,1", "", "y"),
+        ("steps[].tool_calls[].tags[]", "0,0,0", "", "u"),
+    }
+    authors = nested.pivot(made, "metadata.authors[]", ["name"])
+    assert [(r.parent, r.pos, r.name) for r in authors.orderBy("pos").collect()] == [([], 0, "a"), ([], 1, "b")]

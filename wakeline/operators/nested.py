@@ -7,7 +7,8 @@ parser together, as a map from path to value; a table is then one group with som
 Nothing is shuffled: all triples of a record come from one text.
 
 Dynamic subtrees (tool-call arguments) are not pivoted, as their paths are data: each leaf becomes a row of its own. So do
-the optional and unknown keys of envelopes, records, steps and calls, which no column holds (`further`).
+the optional and unknown keys of envelopes, records, steps and calls, which no column holds (`further`). Lists anywhere else
+(in metadata, content, extra, an unknown key) make groups of their own, named by the list positions met on the way.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ SIDES = ("steps", "continuation")
 RECORD_FIELDS = ("trajectory_id", "task", "summary", "metadata")
 STEP_FIELDS = ("role", "content", "tool_call_id", "name")
 FURTHER = "+"
+ENVELOPE = "(envelope)"
 TRIPLES = "record_key {key}, grp string, ordinals array<int>, fields map<string,string>"
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null))')
 
@@ -178,8 +180,30 @@ def further_leaves(value) -> Iterator[tuple[str, list[int], str, object]]:
                     yield from ((f"{side}[]", [s], f"tool_calls[{c}]{'.' if p[:1] not in ('', '[') else ''}{p}", x) for p, x in leaves(call))
 
 
-def triples(text: str | None, further: bool = True) -> Iterator[tuple[str, list[int], dict[str, str | None]]]:
-    """(group, ordinals, {path: value}) of every row that a record's text holds; with or without the groups of `further`."""
+def repeated_rows(group: str, ordinals: list[int], value) -> Iterator[tuple[str, list[int], dict[str, str | None]]]:
+    """(group, ordinals, {path: value}) of every element of the lists below a row's value, but for elements that are lists
+    themselves, which only add a position."""
+    stack = [(group, ordinals, value)]
+    while stack:
+        grp, ords, row = stack.pop()
+        fields, inner, walk = {}, [], [("", row)]
+        while walk:
+            path, v = walk.pop()
+            if isinstance(v, dict) and v:
+                walk += [(f"{path}.{k}" if path else k, x) for k, x in reversed(v.items())]
+            elif isinstance(v, list) and v:
+                name = f"{grp}.{path}[]" if grp and path else f"{grp}{path}[]"
+                inner += [(name, [*ords, i], x) for i, x in enumerate(v)]
+            else:
+                fields[path] = _text(v)
+        if len(ords) > len(ordinals) and not (isinstance(row, list) and row):
+            yield grp, ords, fields
+        stack += reversed(inner)
+
+
+def triples(text: str | None, further: bool = True, repeated: bool = True) -> Iterator[tuple[str, list[int], dict[str, str | None]]]:
+    """(group, ordinals, {path: value}) of every row that a record's text holds; with or without the groups of `further`
+    and those of lists other than steps, continuation, tool_calls and arguments."""
     ok, value = parse(text)
     record = record_of(value) if ok else None
     if record is None:
@@ -188,19 +212,32 @@ def triples(text: str | None, further: bool = True) -> Iterator[tuple[str, list[
         for i, (group, ordinals, path, leaf) in enumerate(further_leaves(value)):
             yield group + FURTHER, [*ordinals, i], {"path": _text(path), "kind": _kind(leaf), "value": _text(leaf)}
     yield "", [], {k: _text(v) for k, v in record.items() if k not in SIDES}
+    if repeated:
+        yield from repeated_rows("", [], {k: v for k, v in record.items() if k not in SIDES or not isinstance(v, list)})
+        if record is not value:
+            yield from repeated_rows(ENVELOPE, [], {k: v for k, v in value.items() if k != "record"})
     for side in SIDES:
         steps = record.get(side)
         for s, step in enumerate(steps if isinstance(steps, list) else []):
             if not isinstance(step, dict):
                 yield f"{side}[]", [s], {"": _text(step)}
+                if repeated:
+                    yield from repeated_rows(f"{side}[]", [s], step)
                 continue
             yield f"{side}[]", [s], {k: _text(v) for k, v in step.items() if k != "tool_calls"}
+            if repeated:
+                yield from repeated_rows(f"{side}[]", [s], {k: v for k, v in step.items() if k != "tool_calls"})
             calls = step.get("tool_calls")
             for c, call in enumerate(calls if isinstance(calls, list) else [calls]):
                 if not isinstance(call, dict):
+                    if repeated:
+                        yield from repeated_rows(f"{side}[].tool_calls[]", [s, c], call)
                     continue
                 body = call["function"] if isinstance(call.get("function"), dict) else call
                 yield f"{side}[].tool_calls[]", [s, c], {"name": _text(body.get("name")), "id": _text(call.get("id"))} | {k: _text(v) for k, v in call.items() if k not in ("name", "id", "arguments", "function")}
+                if repeated:
+                    plain = {k: v for k, v in call.items() if k != "arguments"}
+                    yield from repeated_rows(f"{side}[].tool_calls[]", [s, c], plain if body is call else plain | {"function": {k: v for k, v in body.items() if k != "arguments"}})
                 raw = body.get("arguments", call.get("arguments"))
                 found = arguments_value(raw)
                 if found is None:
@@ -218,6 +255,7 @@ def shred(df: DataFrame, key: str, text: str, groups: tuple[str, ...] | None = N
     """
     keep = None if groups is None else frozenset(groups)
     more = keep is None or any(g.endswith(FURTHER) for g in keep)
+    lists = keep is None or not keep <= KNOWN_GROUPS
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +264,7 @@ def shred(df: DataFrame, key: str, text: str, groups: tuple[str, ...] | None = N
             schema = schema or pa.schema([("record_key", batch.schema.field(0).type), ("grp", pa.string()), ("ordinals", pa.list_(pa.int32())), ("fields", pa.map_(pa.string(), pa.string()))])
             cols: tuple[list, list, list, list] = ([], [], [], [])
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for grp, ords, fields in triples(t, more):
+                for grp, ords, fields in triples(t, more, lists):
                     if keep is None or grp in keep:
                         for c, v in zip(cols, (k, grp, ords, [(_text(n), v) for n, v in fields.items()])):
                             c.append(v)
@@ -290,6 +328,16 @@ ARGUMENT_GROUPS = tuple(f"{s}[].tool_calls[].arguments" for s in SIDES)
 _PARTS = {"envelope": "envelope", "": "record", **{f"{s}[]": "step" for s in SIDES}, **{f"{s}[].tool_calls[]": "call" for s in SIDES}}
 FURTHER_GROUPS = tuple(g + FURTHER for g in _PARTS)
 
+KNOWN_GROUPS = frozenset({"", *(g for g in _PARTS if g != "envelope"), *ARGUMENT_GROUPS, *FURTHER_GROUPS})
+
+
+def repeated(shredded: DataFrame) -> DataFrame:
+    """One row per leaf of a list other than steps, continuation, tool_calls and arguments: record_key, grp (the path of the list,
+    positions left out), ordinals (positions on the way, joined by commas; without the last one they name the parent), path
+    below the element, value. `pivot` makes a table of one grp."""
+    rows = shredded.where(~F.col("grp").isin(list(KNOWN_GROUPS)))
+    return rows.select("record_key", "grp", F.array_join(F.col("ordinals").cast("array<string>"), ",").alias("ordinals"), F.explode("fields").alias("path", "value"))
+
 
 def further(shredded: DataFrame) -> DataFrame:
     """One row per leaf that no other table holds (see `further_leaves`), child of the envelope or record by record_key, of steps

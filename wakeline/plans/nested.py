@@ -30,7 +30,11 @@ def p1_further(spark: SparkSession, d: str) -> DataFrame:
     return nested.further(nested.shred(table(spark, d, "trajectory_lines"), "raw_id", "line", nested.FURTHER_GROUPS)).withColumnRenamed("record_key", "raw_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_steps, p1_calls, p1_further)}
+def p1_repeated(spark: SparkSession, d: str) -> DataFrame:
+    return nested.repeated(nested.shred(table(spark, d, "trajectory_lines"), "raw_id", "line")).withColumnRenamed("record_key", "raw_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_steps, p1_calls, p1_further, p1_repeated)}
 
 #: Elements of the step lists (e) and the tool calls in them (c) of every complete record.
 _CALLS = """WITH l AS (SELECT raw_id, TRY_CAST(line AS JSON) AS j FROM trajectory_lines WHERE json_valid(line)),
@@ -70,4 +74,12 @@ UNION ALL SELECT r.raw_id, 'record', NULL, NULL, NULL, {_PATH} FROM r, json_tree
 UNION ALL SELECT x.raw_id, 'step', x.side, x.step_pos, NULL, {_PATH} FROM y x LEFT JOIN o ON o.raw_id = x.raw_id AND o.side = x.side AND o.step_pos = x.step_pos AND o.call_pos = x.n WHERE o.raw_id IS NULL AND {_without('role', 'content', 'tool_call_id', 'name')} AND {_LEAF}
 UNION ALL SELECT o.raw_id, 'call', o.side, o.step_pos, o.call_pos, {_PATH} FROM o, json_tree(o.c) x
  WHERE CASE WHEN f THEN {_without('id', 'function[.]name', 'function[.]arguments')} AND (fa OR {_without('arguments')}) ELSE {_without('name', 'id', 'arguments')} END AND {_LEAF}""",
+    "p1_repeated": f"""{_CALLS},
+w AS (SELECT raw_id, '' AS above, r AS v FROM r WHERE json_type(r) = 'OBJECT' UNION ALL SELECT raw_id, '(envelope).', j FROM l WHERE json_type(j, '$.record') = 'OBJECT' AND json_type(j, '$.steps') IS NULL AND json_type(j, '$.continuation') IS NULL),
+x AS (SELECT raw_id, above, regexp_replace(fullkey, '^([$][.](?:steps|continuation)[[][0-9]+[]][.]tool_calls)[.]', '\\1[0].') AS full_path, x.type, x.value FROM w, json_tree(w.v) x WHERE above = '' OR {_without('record')}),
+k AS (SELECT raw_id, above || regexp_replace(regexp_replace(full_path, '^[$][.]?', ''), '"([^"]*)"', '\\1', 'g') AS k, CASE WHEN type <> 'NULL' THEN value ->> '$' END AS value FROM x WHERE contains(full_path, '[') AND (type NOT IN ('OBJECT', 'ARRAY') OR value::varchar IN ('{{}}', '[]'))
+ AND NOT regexp_matches(full_path, '^[$][.](steps|continuation)[[][0-9]+[]][.]tool_calls[[][0-9]+[]][.](function[.])?arguments([.[]|$)')),
+g AS (SELECT raw_id, regexp_extract(k, '^.*[]]') AS place, regexp_replace(regexp_extract(k, '[^]]*$'), '^[.]', '') AS path, value FROM k)
+SELECT raw_id, regexp_replace(place, '[[][0-9]+[]]', '[]', 'g') AS grp, array_to_string(regexp_extract_all(place, '[[]([0-9]+)[]]', 1), ',') AS ordinals, path, value FROM g
+ WHERE NOT regexp_matches(place, '^(steps|continuation)[[][0-9]+[]]([.]tool_calls[[][0-9]+[]])?$')""",
 }
