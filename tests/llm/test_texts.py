@@ -183,3 +183,12 @@ def test_defects_in_spark(spark):
     assert got >= {("b", "empty"), ("c", "refusal"), ("d", "echo"), ("e", "other_language"), ("f", "truncated"), (None, "empty")}
     assert ("g", "other_language") not in got
     assert P.defects(df.limit(0), docs.limit(0)).count() == 0
+
+
+def test_cjk_blocks_are_compared_too():
+    assert Q.verdict("王小明\n李建国\n张丽华\n陈志强\n刘海燕\n赵文博") == "list"
+    assert Q.verdict("佐藤健一\n鈴木花子\n高橋誠\n田中美咲\n伊藤翔太") == "list"
+    assert Q.verdict("".join(chr(0x4E00 + i * 7919 % 20900) for i in range(200))) == "junk"
+    assert Q.verdict("我们在这个目录中找到了问题\n但是测试还没有通过\n所以需要再看一下日志\n然后把结果写到文件里") == "prose"
+    assert Q.verdict("修改后的程序已经能够读取配置，\n但测试仍然失败。\n原因是路径不对。") == "prose"
+    assert Q.verdict("テストは失敗しました。\n設定ファイルが見つからないためです。\n次にログを確認します。") == "prose"
