@@ -192,3 +192,17 @@ def test_cjk_blocks_are_compared_too():
     assert Q.verdict("我们在这个目录中找到了问题\n但是测试还没有通过\n所以需要再看一下日志\n然后把结果写到文件里") == "prose"
     assert Q.verdict("修改后的程序已经能够读取配置，\n但测试仍然失败。\n原因是路径不对。") == "prose"
     assert Q.verdict("テストは失敗しました。\n設定ファイルが見つからないためです。\n次にログを確認します。") == "prose"
+
+
+def test_lines_in_fences_count_by_their_marks():
+    dump = "\n".join(f"{i * 16:08x}: " + " ".join(f"{i * 7 + j * 331 & 0xFFFF:04x}" for j in range(8)) for i in range(12))
+    rows = "\n".join(f"| {i} | name{i} | {i * 37} |" for i in range(12))
+    entries = "\n".join(f"- entry number {i} of {i * 31}" for i in range(12))
+    for body, form in ((dump, "junk"), (rows, "table"), (entries, "list")):
+        assert Q.verdict(f"```\n{body}\n```") == form
+        assert Q.verdict(f"Short words before it.\n```\n{body}") == form
+    assert Q.verdict("```python\nx = [1, 2]\nfor y in x:\n    print(y)\n```") == "prose"
+    assert Q.verdict("```diff\n- a line that was there\n- another one of them\n+ a line that came\n```") == "prose"
+    assert Q.verdict("```\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n- a line that was there\n\nkept\n- another one of them\n+ a line that came\n```") == "prose"
+    said = "We looked at the log and it is clear that the test fails because the path is wrong. "
+    assert Q.verdict(f"{said}\n```\ndef f(x):\n    return x\nf(3)\n{'y = f(3)' + chr(10)}") == "prose"
