@@ -206,3 +206,22 @@ def test_lines_in_fences_count_by_their_marks():
     assert Q.verdict("```\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n- a line that was there\n\nkept\n- another one of them\n+ a line that came\n```") == "prose"
     said = "We looked at the log and it is clear that the test fails because the path is wrong. "
     assert Q.verdict(f"{said}\n```\ndef f(x):\n    return x\nf(3)\n{'y = f(3)' + chr(10)}") == "prose"
+
+
+def test_counts_of_ngrams_are_not_shared():
+    words = [f"w{i:x}" for i in range(20_000)]
+    assert len({k for w in words for k in P.end_contexts([w], 0)}) == 5 * len(words) + 1  # the one with gaps is the same for all
+
+
+def test_distributed_counts_decide_as_the_whole_model(spark):
+    texts = ["The fix was applied to the parser"] * 4 + ["The fix was applied to the"] + [f"- Ran the tests of part {i}" for i in range(5)] + ["Broken off (", "", None]
+    df = spark.createDataFrame([(f"k{i}", "What was done?", [], t) for i, t in enumerate(texts)], "trajectory_id string, task string, steps array<struct<role:string,content:string>>, summary string")
+    labelled = spark.createDataFrame([("the parser was fixed and the tests ran", "en")], "text string, lang string")
+    ended, seen, counts = Counter(), Counter(), Counter()
+    for t in texts:
+        P.end_counts(t, ended, seen, counts)
+    P.word_counts(counts, ended, seen)
+    model = P.fit_languages([("the parser was fixed and the tests ran", "en")])
+    want = {(f"k{i}", d) for i, t in enumerate(texts) if (d := P.defect_of("What was done?", [], t, model, ended, seen))}
+    assert {tuple(r) for r in P.defects(df, labelled).collect()} == want
+    assert {d for _, d in want} == {"empty", "truncated"}

@@ -9,9 +9,9 @@ A response (summary) is flagged with one defect, the first that holds:
 - `truncated`: open code, a cut mark, or a last sentence whose end has a low likelihood under the end-of-text n-gram model.
 
 Language model: trigrams hashed into GRAMS buckets, fitted on at most SAMPLE labelled documents of each language (those
-with the smallest hash of their text). End-of-text model: for word n-grams at the end of a sentence so far, how often the
-sentence ended there, counted over all responses and hashed into ENDS buckets. Both models have a fixed size, whatever
-the size of the data, and are what the driver gets and broadcasts.
+with the smallest hash of their text); of fixed size, it is what the driver gets and broadcasts. End-of-text model: for word
+n-grams at the end of a sentence so far, how often the sentence ended there, counted over all responses by 64-bit keys. It
+grows with the data and stays distributed: a response is joined with the counts of the n-grams at its end.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "zh")
-SAMPLE, GRAMS, ENDS = 300, 1 << 16, 1 << 18
+SAMPLE, GRAMS = 300, 1 << 16
 ECHO_SHARE, DECLINE_SHARE, LANGUAGE_MARGIN, END_LIKELIHOOD, ITEM_LIKELIHOOD, LEAST_SEEN = 0.7, 0.4, 5.0, 0.5, 0.1, 3
 _CJK = "㐀-鿿豈-﫿぀-ヿ가-힯"
 _WORD = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
@@ -176,20 +176,26 @@ def tokens_of(sentence: str) -> list[str]:
     return [w if w[0] != "0" else "0" for w in _WORD.findall(re.sub(r"\d+(?:\.\d+)*", "0", _SPAN.sub(" codespan ", sentence)).lower())]
 
 
+def _key(gram: str) -> int:
+    """64-bit hash of an n-gram; the kind is part of it. That of a single word ("1...") is odd, all others are even."""
+    h = int.from_bytes(blake2b(gram.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return h | 1 if gram[0] == "1" else h & ~1
+
+
 def end_contexts(w: list[str], k: int) -> list[int]:
-    """Buckets of the n-grams that end at word k: two with the sentence's start, one with gaps, then of three, two and one words."""
+    """Keys of the n-grams that end at word k: two with the sentence's start, one with gaps, then of three, two and one words."""
     start, last = " ".join(w[:2]), w[k]
     before = w[k - 1] if k else "^"
     more = w[k - 2] if k > 1 else "^"
     skip = f"{w[k - 5]} {w[k - 3]} {before}" if k > 4 else f"^ {before}"
     skip = f"{w[k - 5]} {w[k - 3]} {before}" if k > 4 else f"^ {before}"
-    return [crc32(x.encode("utf-8", "replace")) % ENDS for x in (f"A{start}|{before} {last}", f"B{start}|{before}", f"S{skip}", f"3{more} {before} {last}", f"2{before} {last}", f"1{last}")]
+    return [_key(x) for x in (f"A{start}|{before} {last}", f"B{start}|{before}", f"S{skip}", f"3{more} {before} {last}", f"2{before} {last}", f"1{last}")]
 
 
 def word_contexts(word: str) -> list[int]:
-    """Buckets of the character trigrams of a word, that of its end last."""
+    """Keys of the character trigrams of a word, that of its end last."""
     x = "^" + word
-    return [crc32(("W" + x[i : i + 3]).encode("utf-8", "replace")) % ENDS for i in range(max(1, len(x) - 2))]
+    return [_key("W" + x[i : i + 3]) for i in range(max(1, len(x) - 2))]
 
 
 def end_counts(text: str | None, ended: Counter, seen: Counter, words: Counter) -> None:
@@ -221,10 +227,20 @@ def word_counts(words: Counter, ended: Counter, seen: Counter) -> None:
 
 def end_likelihood(w: list[str], ended: dict[int, int], seen: dict[int, int]) -> float:
     """How likely a sentence of these words ends here. A word never seen whose last trigram ends no word is taken as cut off."""
-    a, b, skip, three, two, one = end_contexts(w, len(w) - 1)
+    return likelihood(end_keys(w), ended, seen)
+
+
+def end_keys(w: list[str]) -> list[int]:
+    """The keys whose counts `likelihood` looks at."""
+    return [*end_contexts(w, len(w) - 1), word_contexts(w[-1])[-1]]
+
+
+def likelihood(keys: list[int], ended: dict[int, int], seen: dict[int, int]) -> float:
+    """`end_likelihood` by the keys of the sentence's end."""
+    a, b, skip, three, two, one, word = keys
     p = lambda c: ended.get(c, 0) / seen[c] if seen.get(c, 0) >= LEAST_SEEN else None
     if not seen.get(one):
-        if (x := p(word_contexts(w[-1])[-1])) is not None and x < 0.02:
+        if (x := p(word)) is not None and x < 0.02:
             return 0.0
         return x if (x := p(b)) is not None else 0.5
     known = [x for x in (p(a), p(b), p(skip), p(three) if p(three) is not None else p(two) if p(two) is not None else p(one)) if x is not None]
@@ -233,40 +249,54 @@ def end_likelihood(w: list[str], ended: dict[int, int], seen: dict[int, int]) ->
 
 def is_truncated(text: str, ended: dict[int, int], seen: dict[int, int]) -> bool:
     """Breaks off inside code, a word, a sentence or a list item."""
+    below, w = truncation(text)
+    return below > 1 or below > 0 and end_likelihood(w, ended, seen) < below
+
+
+ALWAYS = 2.0
+HELD = 300_000  # n-grams that a task counts before it hands them on
+
+
+def truncation(text: str) -> tuple[float, list[str]]:
+    """(limit, last sentence): truncated if the sentence's end is less likely than the limit; 2 is always, 0 never."""
     body = _INVISIBLE.sub("", text).strip()
     if _CUT.search(body):
-        return True
+        return ALWAYS, []
     body = plain(body)
     if len(_FENCE.findall(body)) % 2:
-        return True
+        return ALWAYS, []
     if re.search(r"^\s*(```|~~~)\s*$", body.rsplit("\n", 1)[-1]):
-        return False
+        return 0.0, []
     body = _FENCED.sub("", body).rstrip()
     lines = [x for x in body.split("\n") if x.strip()]
     if not lines:
-        return False
+        return 0.0, []
     last = lines[-1]
     item = _MARK.match(last)
     rest = (last[item.end() :] if item else last).strip()
     if not rest or rest.count("`") % 2 or _OPEN_END.search(rest) or rest.count("(") > rest.count(")"):
-        return True
+        return ALWAYS, []
     pieces = [s for s in _SENTENCE.split(rest) if s and s.strip()]
     w = tokens_of(pieces[-1]) if pieces else []
     if not w or set(w) == {"codespan"}:
-        return False
-    likely = end_likelihood(w, ended, seen)
+        return 0.0, []
     if _CLOSED.search(rest):
-        return w[-1] == "0" and likely < 0.1
+        return 0.1 if w[-1] == "0" else 0.0, w
     if item:
         items = [x.rstrip() for x in lines[:-1] if _MARK.match(x)]
         if items and all(_CLOSED.search(x) for x in items):
-            return True
-        return likely < ITEM_LIKELIHOOD
+            return ALWAYS, []
+        return ITEM_LIKELIHOOD, w
     styled = len(pieces) > 1 or any(_CLOSED.search(x) for x in lines[:-1] if not _MARK.match(x))
-    return styled or likely < END_LIKELIHOOD
+    return ALWAYS if styled else END_LIKELIHOOD, w
 
 
 def defect_of(task: str | None, contents: list[str | None], response: str | None, model: np.ndarray, ended: dict[int, int], seen: dict[int, int]) -> str | None:
+    return earlier_defect(task, contents, response, model) or ("truncated" if is_truncated(response, ended, seen) else None)
+
+
+def earlier_defect(task: str | None, contents: list[str | None], response: str | None, model: np.ndarray) -> str | None:
+    """The defect, if it is another one than truncation."""
     if is_empty(response):
         return "empty"
     if is_refusal(response) and not echo_share(response, [c for c in contents if c]) >= ECHO_SHARE:
@@ -275,7 +305,7 @@ def defect_of(task: str | None, contents: list[str | None], response: str | None
         return "echo"
     if other_language(task, response, model):
         return "other_language"
-    return "truncated" if is_truncated(response, ended, seen) else None
+    return None
 
 
 def language_model(labelled: DataFrame, text: str, label: str, sample: int = SAMPLE) -> np.ndarray:
@@ -286,21 +316,32 @@ def language_model(labelled: DataFrame, text: str, label: str, sample: int = SAM
     return fit_languages([(r.t, r.c) for r in rows.withColumn("r", rank).where(F.col("r") <= sample).collect()])
 
 
-def end_model(responses: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, ended, seen) over all rows; at most ENDS buckets come to the driver."""
+def end_model(responses: DataFrame, text: str) -> DataFrame:
+    """c, e, n: how often each n-gram ended a sentence and stood at all, over all rows, by its key; it stays distributed.
+
+    N-grams seen less than LEAST_SEEN times are left out, as `likelihood` makes no use of them; single words are all kept.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ended, seen, words = Counter(), Counter(), Counter()
+
+        def made() -> pa.RecordBatch:
+            word_counts(words, ended, seen)
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([ended[c] for c in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["c", "e", "n"])
+            for x in (ended, seen, words):
+                x.clear()
+            return out
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 end_counts(t, ended, seen, words)
-        word_counts(words, ended, seen)
+                if len(seen) > HELD:
+                    yield made()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([ended[c] for c in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["c", "e", "n"])
+            yield made()
 
-    rows = responses.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "c int, e long, n long")
-    t = rows.groupBy("c").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).where(F.col("n") >= 1).toArrow()
-    return tuple(t.column(c).to_numpy() for c in ("c", "e", "n"))
+    rows = responses.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "c long, e long, n long")
+    return rows.groupBy("c").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).where((F.col("n") >= LEAST_SEEN) | (F.col("c").bitwiseAND(F.lit(1)) == 1))
 
 
 def defects(pairs: DataFrame, labelled: DataFrame, key: str = "trajectory_id", task: str = "task", steps: str = "steps", response: str = "summary", label_text: str = "text", label: str = "lang") -> DataFrame:
@@ -310,24 +351,39 @@ def defects(pairs: DataFrame, labelled: DataFrame, key: str = "trajectory_id", t
     null key stays null. Without labelled rows or known languages no pair is flagged for its language. Other columns are
     not read.
     """
-    spark = pairs.sparkSession
-    model = language_model(labelled, label_text, label)
-    ends = end_model(pairs, response)
-    sent = spark.sparkContext.broadcast((model, *ends))
+    sent = pairs.sparkSession.sparkContext.broadcast(language_model(labelled, label_text, label))
     s = F.col(steps)
     said = F.zip_with(s["role"], s["content"], lambda r, c: F.when(r == "assistant", c))
     rows = pairs.select(F.col(key).cast("string").alias("k"), F.col(task).alias("t"), F.col(response).alias("r"), F.filter(said, lambda c: c.isNotNull()).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, c, e, n = sent.value
-        c = c.tolist()
-        ended, seen = dict(zip(c, e.tolist())), dict(zip(c, n.tolist()))
         for batch in batches:
-            ids, found = batch.column(0).to_pylist(), []
-            for t, r, x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                found.append(defect_of(t, x or [], r, languages, ended, seen))
-            keep = [i for i, d in enumerate(found) if d]
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.string()), pa.array([found[i] for i in keep])], names=[key, "defect"])
-
-    return rows.mapInArrow(run, f"`{key}` string, defect string").dropDuplicates([key])
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for k, t, r, x in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                found, below, w = earlier_defect(t, x or [], r, sent.value), 0.0, []
+                if not found:
+                    below, w = truncation(r)
+                    found = "truncated" if below > 1 else None
+                if found or below > 0:
+                    for c, v in zip(out, (k, found, below, None if found else end_keys(w))):
+                        c.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64())))], names=["k", "defect", "below", "keys"])
+
+    judged = rows.mapInArrow(run, "k string, defect string, below double, keys array<long>")
+    looked = judged.select("k", "defect", "below", "keys", F.explode_outer(F.array_distinct("keys")).alias("c")).join(end_model(pairs, response), "c", "left")
+    counted = looked.groupBy("k", "defect", "below", "keys").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("c", "e", "n"))).alias("counts"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for k, defect, below, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if not defect and likelihood(keys, {x["c"]: x["e"] for x in counts}, {x["c"]: x["n"] for x in counts}) < below:
+                    defect = "truncated"
+                if defect:
+                    ids.append(k)
+                    found.append(defect)
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found)], names=[key, "defect"])
+
+    return counted.mapInArrow(decide, f"`{key}` string, defect string").dropDuplicates([key])
