@@ -102,3 +102,11 @@ def test_render(spark):
     assert got["y"] == "[Task]\n\n\n[Partial Trajectory — 0 step(s) so far]"
     assert one(spark, render.json_line(F.lit('{"a":1,"b":"é"}')).alias("j")).j == json.dumps({"a": 1, "b": "é"})
     assert one(spark, render.quoted(F.lit("it's")).alias("q")).q == '"it\'s"'
+
+
+def test_a_registered_query_has_distortion(spark, tmp_path):
+    spark.createDataFrame([(i, [float((i * j) % 5) for j in range(64)]) for i in range(4)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    from wakeline.plans import registry
+
+    made = [registry.QUERIES[n](spark, str(tmp_path)).first() for n in ("distortion", "distortion_shifted") if n in registry.QUERIES]
+    assert any(r.distortion != 0 for r in made)

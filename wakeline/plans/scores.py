@@ -54,6 +54,18 @@ def distortion(spark, d):
     return out.withColumn("reward", C.distortion_reward(F.col("distortion"), F.lit("three short words"), 0.01))
 
 
+def distortion_shifted(spark, d):
+    """As `distortion`, but each list is scored against that of the next vectors: x and z have another context and differ."""
+    t = _log_probs(spark, d)
+    both = t.join(t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("top").alias("z")), "vec_id")
+    group = F.floor(F.col("vec_id") / 10).cast("long").alias("g")
+    rows = both.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.map_entries("top").alias("x"), F.map_entries("z").alias("z")))).alias("l"))
+    lists = rows.select("g", F.transform("l", lambda r: F.map_from_entries(r["x"])).alias("x"), F.transform("l", lambda r: F.map_from_entries(r["z"])).alias("z"))
+    pos = C.kl_per_position(*C.completion_positions(F.col("x"), F.slice("z", 2, 100), F.lit(1), F.size("x"), F.lit(0)))
+    out = lists.select("g", C.distortion(pos).alias("distortion"), F.size(pos).cast("long").alias("n_tokens"), F.coalesce(C.distortion_error(pos), F.lit("")).alias("error"))
+    return out.withColumn("reward", C.distortion_reward(F.col("distortion"), F.lit("three short words"), 0.01))
+
+
 def group_centred(spark, d):
     return C.centred(table(spark, d, "events").select("event_id", "user_id", "value"), "user_id", "value").select("event_id", "mean_reward", "advantage")
 
@@ -132,7 +144,7 @@ def json_text(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    entities, coverage, top_k, topk_kl, distortion, group_centred, varied_groups, batch_rewards, datum_arrays, loss_mask, batch_metrics, partial_score, test_report, text_functions, reversed_patches, json_text,
+    entities, coverage, top_k, topk_kl, distortion, distortion_shifted, group_centred, varied_groups, batch_rewards, datum_arrays, loss_mask, batch_metrics, partial_score, test_report, text_functions, reversed_patches, json_text,
 )}
 
 _ONE = "WITH q AS (SELECT * EXCLUDE (_n) FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY ingested_at) AS _n FROM trajectories) WHERE _n = 1)"
@@ -161,6 +173,9 @@ SQL = {
     "topk_kl": f"{_TOP} SELECT vec_id, kl FROM k",
     "distortion": f"""{_TOP}, o AS (SELECT vec_id, vec_id // 10 AS g, row_number() OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS r, count(*) OVER (PARTITION BY vec_id // 10) AS n FROM (SELECT DISTINCT vec_id FROM t)),
 g AS (SELECT g, n, sum(0) AS zero FROM o GROUP BY g, n) SELECT g, CASE WHEN n > 1 THEN 0::double END AS distortion, n - 1 AS n_tokens, CASE WHEN n > 1 THEN '' ELSE 'No completion tokens scored' END AS error, CASE WHEN n > 1 THEN -0.03::double ELSE 0::double END AS reward FROM g""",
+    "distortion_shifted": f"""{_TOP}, o AS (SELECT vec_id, kl, vec_id // 10 AS g, row_number() OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS r FROM k),
+g AS (SELECT g, avg(kl) FILTER (r > 1) AS distortion, count(*) - 1 AS n_tokens FROM o GROUP BY g)
+SELECT g, distortion, n_tokens, CASE WHEN n_tokens > 0 THEN '' ELSE 'No completion tokens scored' END AS error, coalesce(-distortion - 0.03::double, 0) AS reward FROM g""",
     "group_centred": "SELECT event_id, avg(value) OVER (PARTITION BY user_id) AS mean_reward, value - avg(value) OVER (PARTITION BY user_id) AS advantage FROM events",
     "varied_groups": "WITH r AS (SELECT uid, instance_id, max(coalesce(is_correct, 0)) AS reward FROM (SELECT DISTINCT * FROM run_records) GROUP BY uid, instance_id), a AS (SELECT uid, instance_id, reward - avg(reward) OVER (PARTITION BY instance_id) AS advantage FROM r) SELECT * FROM a QUALIFY max(abs(advantage)) OVER (PARTITION BY instance_id) > 0",
     "batch_rewards": "WITH m AS (SELECT user_id % 8 AS batch, user_id, coalesce(avg(value), 0) AS m FROM events GROUP BY ALL) SELECT batch, avg(m) AS mean_reward, max(m) AS max_reward, count(*) AS n_groups FROM m GROUP BY batch",
