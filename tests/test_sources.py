@@ -138,3 +138,10 @@ def test_checkpoints_cut_lineage(spark):
 def test_schema_of_history(spark):
     df = spark.createDataFrame([("i", "p", [("system", "s"), ("user", "u")])], schema.HISTORY)
     assert [tuple(r) for r in files.history_messages(df).collect()] == [("i", 0, "system", "s"), ("i", 1, "user", "u")]
+
+
+def test_stored_tables_cut_lineage(spark):
+    df = lineage.stored(spark.range(10).selectExpr("id * 2 AS x", "array(id, null) AS y"))
+    assert "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.x, r.y) for r in df.collect()) == [(2 * i, [i, None]) for i in range(10)]
+    assert lineage.stored(df.limit(0)).count() == 0
