@@ -225,3 +225,46 @@ def test_distributed_counts_decide_as_the_whole_model(spark):
     want = {(f"k{i}", d) for i, t in enumerate(texts) if (d := P.defect_of("What was done?", [], t, model, ended, seen))}
     assert {tuple(r) for r in P.defects(df, labelled).collect()} == want
     assert {d for _, d in want} == {"empty", "truncated"}
+
+
+def test_long_noisy_items_take_little_time():
+    import time
+
+    rnd = random.Random(14)
+    item = words(rnd, 20_000)
+    noisy = [w if rnd.random() > 0.07 else "other" for w in item]
+    began = time.process_time()
+    (found,) = L.search([" ".join(noisy)], L.build_index([(1, "p", " ".join(item))]))
+    assert found[3] > 19_000
+    assert found[3] >= L.RATE * found[4]
+    assert time.process_time() - began < 5
+
+
+def test_classes_of_items_by_size(spark):
+    assert [L.size_class(n) for n in (20, 39, 40, 79, 80, 20_000)] == [0, 0, 1, 1, 2, 9]
+    assert [L.width_of(n) for n in (20, 30, 50, 100)] == [2, 3, 4, 5]
+    for n in range(20, 40):  # the fewest intact stretches of six words that changes can leave
+        c = n // L.RATE
+        assert L.least_hits(20, 2) <= n - c - 5 * (c + 1)
+    rnd = random.Random(15)
+    small, large = words(rnd, 24), words(rnd, 200)
+    d = spark.createDataFrame([(1, " ".join(small)), (2, " ".join(large[50:80])), (3, " ".join(large[20:140]))], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(small)), (2, " ".join(large))], "item_id long, a string")
+    assert {(r.doc_key, r.item_key) for r in L.leaks(d, "doc_id", "text", i, "item_id", ["a"]).collect()} == {(1, 1), (2, 2), (3, 2)}
+    assert {(r.doc_key, r.item_key, r.n_words) for r in L.leaks(d, "doc_id", "text", i, "item_id", ["a"], min_share=0.5).collect()} == {(1, 1, 24), (3, 2, 120)}
+
+
+def test_recall_against_brute_force():
+    rnd = random.Random(16)
+    item = words(rnd, 60)
+    index, found, want = L.build_index([(1, "p", " ".join(item))]), 0, 0
+    for _ in range(150):
+        at = rnd.randint(0, 40)
+        passage = item[at : at + 20]
+        for x in rnd.sample(range(1, 19), 2):
+            passage[x] = "changed"
+        if best_by_brute_force(passage, item, L.RATE) >= L.MIN_WORDS:
+            want += 1
+            found += bool(L.search([" ".join(["a", "b", *passage, "c"])], index))
+    assert want > 100
+    assert found == want
