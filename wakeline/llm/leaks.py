@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from wakeline.lineage import stored
 
-SHINGLE, MIN_WORDS, RATE, DROP = 5, 20, 10, 60
+SHINGLE, MIN_WORDS, RATE, DROP = 5, 20, 10, 150
 #: Words that a Python task looks at together are about so many characters.
 BLOCK_CHARS = 4_000_000
 BITS, BITS_A_KEY, SALT = 28, 128, 8
