@@ -147,3 +147,35 @@ def test_pieces(spark):
     assert all(r.text == long[r.first : r.until] and r.n_chars == len(r.text) <= 4000 for r in one)
     assert all(re.search(r"\S", r.text) for r in rows)
     assert P.pieces(a.limit(0), t.limit(0)).count() == 0
+
+
+def test_forced_cuts_are_those_of_unbroken_stretches():
+    rnd = random.Random(7)
+    for _ in range(1500):
+        text = "".join(rnd.choice(["x" * rnd.randint(1, 60), " ", "\n", "  ", "。", "y. ", "\n\n", "\t"]) for _ in range(rnd.randint(1, 60)))
+        limit = rnd.randint(30, 60)
+        got = check_spans(text, limit, rnd.randint(0, limit - 1))
+        assert any(k == "forced" for _, _, k in got) == (re.search(rf"[^\s。！？]{{{limit + 1},}}", text) is not None)
+
+
+def test_depth_is_up_to_the_nearest_peaks(monkeypatch):
+    assert P._peaks([0.1, 0.9, 0.5, 0.6, 0.2, 0.3]) == [0.1, 0.9, 0.9, 0.6, 0.6, 0.3]
+    rnd = random.Random(8)
+    units = [" ".join(rnd.choice("alpha beta gamma delta eps zeta".split()) for _ in range(rnd.randint(0, 8))) for _ in range(60)]
+    whole = P.similarities(units)
+    for i in (1, 9, 30, 59):  # by words counted one by one
+        a, b = (P.Counter(" ".join(u).split()) for u in (units[max(0, i - P.BLOCK) : i], units[i : i + P.BLOCK]))
+        assert whole[i - 1] == pytest.approx(P._cosine(a, b), abs=1e-6)
+    for cells in (1, 300):
+        monkeypatch.setattr(P, "CELLS", cells)
+        assert P.similarities(units) == pytest.approx(whole, abs=1e-6)
+
+
+def test_later_deliveries_do_not_count(spark):
+    old, new = "first. " * 800, "second. " * 900
+    a = spark.createDataFrame([("r", 1, new, 9), ("r", 1, old, 5), ("r", 1, new, 7), ("r", 2, old, 9), (None, None, old, 1), (None, None, old, 1)], "run_id string, pos int, content string, t int").withColumn("arrived_at", F.timestamp_seconds("t"))
+    t = spark.createDataFrame([], "trajectory_id string, steps array<struct<role:string,content:string>>")
+    rows = P.pieces(a, t).collect()
+    assert {(r.item_key, r.item_pos) for r in rows} == {("r", 1), ("r", 2), (None, None)}
+    assert len(rows) == 3 * len(P.spans(old))
+    assert all("second" not in r.text for r in rows)

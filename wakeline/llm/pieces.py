@@ -2,9 +2,11 @@
 
 Lexical-cohesion segmentation. The gaps between a text's lines and sentences are candidates. At each gap the words of the
 BLOCK units before it and of the BLOCK units after it are compared by cosine; where this similarity has a valley the topic
-changes. Of the gaps that a piece of allowed size can end at, the one with the deepest valley is taken (at equal depth the
-stronger kind of boundary, then the later one). Without a gap the last white space in the window is taken, and only where
-there is none either, the text is cut at the limit (`forced`).
+changes. A valley's depth is how far the similarity climbs from it to the nearest peak on either side. Of the gaps that a
+piece of allowed size can end at, the one with the deepest valley is taken (at equal depth the stronger kind of boundary, then
+the later one). Without a gap the last white space in the window is taken, and only where there is none either, the text is
+cut at the limit (`forced`). As every white space and sentence mark is such a place, exactly the items with an unbroken
+stretch above the limit have a forced cut.
 
 The next piece begins `overlap` characters before the cut. The overlap is shortened only where otherwise an unbroken
 stretch that fits into one piece would have to be cut.
@@ -17,8 +19,9 @@ above the limit alone at its text's boundaries; both are `forced`.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wakeline.lineage import stored
+
 TEXT_LIMIT, TEXT_OVERLAP, STEPS_LIMIT = 4000, 200, 12_000
-BLOCK, BUCKETS = 6, 128
+BLOCK = 6
+#: Numbers that are held at once while similarities are computed; it decides on memory only.
+CELLS = 4_000_000
 PARAGRAPH, LINE, SENTENCE, SPACE, FORCED, END = "paragraph", "line", "sentence", "space", "forced", "end"
-_BONUS = {PARAGRAPH: 0.3, LINE: 0.1, SENTENCE: 0.0}
+_KINDS = (SENTENCE, LINE, PARAGRAPH)  # from weak to strong
 _GAP = re.compile(r"(\n[ \t\r]*\n\s*)|(\n)|([.!?…]['\")\]»”]*\s+|[。！？]+['\")\]»”]*\s*)")
-_WORD = re.compile(r"[^\W_]{2,}")
-_SPACE = re.compile(r"\s(?!\s)|[。！？]")
+_CJK = "㐀-鿿豈-﫿぀-ヿ가-힯"
+_WORD = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]{{2,}}")
+_SPACE = re.compile(r"[\s。！？]")
 SCHEMA = T.StructType([
     T.StructField("item_kind", T.StringType()), T.StructField("item_key", T.StringType()), T.StructField("item_pos", T.IntegerType()),
     T.StructField("piece_no", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("until", T.IntegerType()),
@@ -41,32 +49,62 @@ SCHEMA = T.StructType([
 ])
 
 
-def depths(units: list[str]) -> np.ndarray:
-    """Depth of the similarity valley at each gap between neighbouring units; 0 where the words don't change."""
+def _cosine(a: Counter, b: Counter) -> float:
+    norm = sum(x * x for x in a.values()) * sum(x * x for x in b.values())
+    return sum(n * b[w] for w, n in a.items()) / norm**0.5 if norm else 0.0
+
+
+def similarities(units: list[str]) -> np.ndarray:
+    """Cosine of the words of the BLOCK units before and after each gap between neighbouring units."""
     n = len(units)
-    if n < 2:
-        return np.zeros(0)
-    counts = np.zeros((n + 1, BUCKETS), np.float32)
-    for i, u in enumerate(units):
-        words = _WORD.findall(u.lower())
-        if words:
-            counts[i + 1] = np.bincount([crc32(w.encode("utf-8", "replace")) % BUCKETS for w in words], minlength=BUCKETS)
-    total = counts.cumsum(axis=0)
-    at = np.arange(1, n)
-    left, right = total[at] - total[np.maximum(at - BLOCK, 0)], total[np.minimum(at + BLOCK, n)] - total[at]
-    norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
-    s = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0.0)
-    before, after = np.maximum.accumulate(s), np.maximum.accumulate(s[::-1])[::-1]
-    return (before - s) + (after - s)
-
-
-def _best(ends: np.ndarray, depth: np.ndarray, low: int, high: int) -> int | None:
-    """Index of the gap with low < end <= high that has the deepest valley, of equals the last."""
+    words = [_WORD.findall(u.lower()) for u in units]
+    upto = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    s, at = np.zeros(max(0, n - 1)), 0
+    while at < n - 1:  # a few gaps at a time, with the units that they look at
+        low, until = max(0, at + 1 - BLOCK), at + 1
+        held = lambda k: (k + BLOCK - low) * int(upto[min(n, k + BLOCK)] - upto[low])  # noqa: B023, E731
+        while until < n - 1 and held(until + 1) <= CELLS:
+            until += 1
+        high = min(n, until + BLOCK)
+        if held(until) > CELLS:  # one gap between very large units
+            s[at] = _cosine(Counter(w for u in words[low : at + 1] for w in u), Counter(w for u in words[at + 1 : high] for w in u))
+        else:
+            ids: dict[str, int] = {}
+            flat = np.array([ids.setdefault(w, len(ids)) for u in words[low:high] for w in u], np.int64)
+            row = np.repeat(np.arange(high - low), np.diff(upto[low : high + 1]))
+            total = np.zeros((high - low + 1, len(ids)), np.float32)
+            total[1:] = np.bincount(row * len(ids) + flat, minlength=(high - low) * len(ids)).reshape(high - low, len(ids)).cumsum(axis=0)
+            gap = np.arange(at + 1, until + 1) - low
+            left, right = total[gap] - total[np.maximum(gap - BLOCK, 0)], total[np.minimum(gap + BLOCK, high - low)] - total[gap]
+            norm = np.sqrt((left * left).sum(1) * (right * right).sum(1))
+            s[at:until] = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0.0)
+        at = until
+    return s
+
+
+def _peaks(s: list[float]) -> list[float]:
+    """For each value the one that a climb to the left ends at."""
+    out = s[:1]
+    for before, here in zip(s, s[1:]):
+        out.append(out[-1] if before >= here else here)
+    return out
+
+
+def depths(units: list[str]) -> np.ndarray:
+    """Depth of the similarity valley at each gap between neighbouring units: how far it is up to the nearest peak on the left
+    and on the right, added; 0 at a peak or where the words don't change."""
+    s = similarities(units).round(6)
+    left, right = _peaks(s.tolist()), _peaks(s[::-1].tolist())[::-1]
+    return np.array(left) + np.array(right) - 2 * s
+
+
+def _best(ends: np.ndarray, depth: np.ndarray, low: int, high: int, strength: np.ndarray | None = None) -> int | None:
+    """Index of the gap with low < end <= high that has the deepest valley, of equals the strongest, then the last."""
     a, b = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high, "right")
     if a >= b:
         return None
-    window = depth[a:b]
-    return int(b - 1 - np.argmax(window[::-1]))
+    deepest = a + np.flatnonzero(depth[a:b] == depth[a:b].max())
+    return int(deepest[-1] if strength is None else deepest[len(deepest) - 1 - np.argmax(strength[deepest][::-1])])
 
 
 def spans(text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP) -> list[tuple[int, int, str]]:
@@ -78,25 +116,25 @@ def spans(text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP) -> li
         raise ValueError("overlap must be at least 0 and less than the limit")
     if len(text) <= limit:
         return [(0, len(text), END)]
-    kinds = (PARAGRAPH, LINE, SENTENCE)
-    gaps = [(m.end(), kinds[m.lastindex - 1]) for m in _GAP.finditer(text) if m.end() < len(text)]
-    ends = np.array([e for e, _ in gaps], np.int64)
+    gaps = [(m.end(), 3 - m.lastindex) for m in _GAP.finditer(text) if m.end() < len(text)]
+    ends, strength = np.array([e for e, _ in gaps], np.int64), np.array([k for _, k in gaps], np.int64)
     edges = [0, *ends.tolist(), len(text)]
-    depth = depths([text[a:b] for a, b in zip(edges, edges[1:])]) + np.array([_BONUS[k] for _, k in gaps])
-    spaces = np.array([m.end() for m in _SPACE.finditer(text)], np.int64)
+    depth = depths([text[a:b] for a, b in zip(edges, edges[1:])])
+    marks = np.array([m.start() for m in _SPACE.finditer(text)], np.int64)
+    spaces = np.union1d(marks, marks + 1)
     out, start, done = [], 0, 0
     while len(text) - start > limit:
         low, high = max(start + max(limit // 2, overlap), done), start + limit
-        i = _best(ends, depth, low, high)
+        i = _best(ends, depth, low, high, strength)
         if i is None:
-            i = _best(ends, depth, max(start + overlap, done), low)
+            i = _best(ends, depth, max(start + overlap, done), low, strength)
         if i is not None:
-            end, kind = int(ends[i]), gaps[i][1]
+            end, kind = int(ends[i]), _KINDS[strength[i]]
         else:
             k = int(np.searchsorted(spaces, high, "right")) - 1
-            end, kind = (int(spaces[k]), SPACE) if k >= 0 and spaces[k] > max(start + overlap, done) else (high, FORCED)
+            end, kind = (int(spaces[k]), SPACE) if k >= 0 and spaces[k] > max(start, done) else (high, FORCED)
         out.append((start, end, kind))
-        done, start = end, end - overlap
+        done, start = end, max(end - overlap, start + 1)
         k = int(np.searchsorted(spaces, done, "right"))
         stretch = int(spaces[k]) if k < len(spaces) else len(text)
         if stretch - done <= limit < stretch - start:
@@ -116,12 +154,12 @@ def step_spans(roles: list[str | None], contents: list[str | None], limit: int =
     sizes = np.cumsum([0, *map(len, texts)])
     size = lambda a, b: int(sizes[b] - sizes[a])
     units = turns(roles)
-    ends = np.array([b for _, b in units[:-1]], np.int64)
+    begins, ends = [a for a, _ in units], np.array([b for _, b in units[:-1]], np.int64)
     depth = depths(["\n".join(texts[a:b]) for a, b in units])
     out: list[tuple[int, int, int | None, int | None, str]] = []
     start, n = 0, len(roles)
     while size(start, n) > limit:
-        turn = next(u for u in units if u[0] <= start < u[1])
+        turn = units[bisect_right(begins, start) - 1]
         high = int(np.searchsorted(sizes, sizes[start] + limit, "right")) - 1
         low = max(out[-1][1] if out else 0, start)
         half = int(np.searchsorted(sizes, sizes[start] + limit // 2, "left")) - 1
@@ -130,10 +168,9 @@ def step_spans(roles: list[str | None], contents: list[str | None], limit: int =
         if i is not None:
             end = int(ends[i])
             out.append((start, end, None, None, "turn"))
-            last = max(u[0] for u in units if u[0] < end)
-            after = next(u for u in units if u[0] == end)
-            start = last if last > start and size(last, after[1]) <= limit else end
-        elif start < turn[0] or size(start, turn[1]) <= limit:
+            k = bisect_right(begins, end) - 1
+            start = begins[k - 1] if begins[k - 1] > start and size(begins[k - 1], units[k][1]) <= limit else end
+        elif size(start, turn[1]) <= limit:
             start = low
         else:  # one turn above the limit
             s = turn[0]
@@ -148,15 +185,18 @@ def step_spans(roles: list[str | None], contents: list[str | None], limit: int =
 
 
 def _content_rows(kind: str, key, pos, text: str, limit: int, overlap: int, with_text: bool) -> Iterator[tuple]:
-    forced = int(re.search(rf"[^\s。！？]{{{limit + 1},}}", text) is not None)
-    for i, (a, b, how) in enumerate(spans(text, limit, overlap)):
+    cuts = spans(text, limit, overlap)
+    forced = int(any(how == FORCED for _, _, how in cuts))
+    for i, (a, b, how) in enumerate(cuts):
         yield kind, key, pos, i, a, b, a, b, b - a, how, forced, text[a:b] if with_text else None
 
 
 def _step_rows(key, roles, contents, limit: int, overlap: int, with_text: bool) -> Iterator[tuple]:
     size = [len(c or "") for c in contents]
-    forced = int(any(sum(size[a:b]) > limit for a, b in turns(roles) if roles[a] == "assistant"))
-    for i, (a, b, c, d, how) in enumerate(step_spans(roles, contents, limit, overlap)):
+    cuts, begins = step_spans(roles, contents, limit, overlap), [a for a, _ in turns(roles)]
+    # steps before the first assistant step are no turn
+    forced = int(any(how == FORCED and roles[begins[bisect_right(begins, a) - 1]] == "assistant" for a, _, _, _, how in cuts))
+    for i, (a, b, c, d, how) in enumerate(cuts):
         text = "\n".join(x or "" for x in contents[a:b]) if with_text else None
         yield "steps", key, -1, i, a, b, c, d, sum(size[a:b]) if c is None else d - c, how, forced, text if c is None or text is None else text[c:d]
 
@@ -176,29 +216,46 @@ def _mapped(df: DataFrame, rows) -> DataFrame:
     return df.mapInArrow(run, SCHEMA)
 
 
-def content_pieces(items: DataFrame, key: str, pos: str, text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP, with_text: bool = True) -> DataFrame:
+def _once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows k..., `_at`, ... without those whose key was delivered before, by `_at`, then by their place. Keys and times are
+    shuffled, and joined only for keys that were delivered again; these are stored, so the planner knows how few they are."""
+    placed = rows.withColumn("_no", F.monotonically_increasing_id())
+    again = placed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct("_at", "_no")).alias("_f")).where("_n > 1")
+    again = stored(again.select(*(F.col(k).alias("_" + k) for k in keys), F.col("_f._no").alias("_first")))
+    same = [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]
+    return placed.join(again, same, "left").where("_first IS NULL OR _first = _no").drop("_at", "_no", "_first", *("_" + k for k in keys))
+
+
+def _arrival(items: DataFrame, at: str | None):
+    return (F.col(at) if at else F.lit(None)).cast("timestamp").alias("_at")
+
+
+def content_pieces(items: DataFrame, key: str, pos: str, text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP, with_text: bool = True, at: str | None = None) -> DataFrame:
     """Pieces of the texts above `limit` characters: item_kind `content`, item_key, item_pos, piece_no, first and until
     (character offsets, also as char_from and char_until), n_chars, boundary (kind of the end), forced (the item has more than
     `limit` characters in a row without white space or 。！？), text (null unless with_text).
 
-    Null and empty texts and those within the limit give no rows. Repeated rows give repeated pieces. Texts go to Python only
-    if they are above the limit. Other columns of `items` are not read.
+    Null and empty texts and those within the limit give no rows. An item delivered again counts once, the earliest by `at`.
+    Texts go to Python only if they are above the limit. Other columns of `items` are not read.
     """
-    large = items.select(F.col(key).cast("string").alias("k"), F.col(pos).cast("int").alias("p"), F.col(text).alias("t")).where(F.length("t") > limit)
-    return _mapped(large, lambda k, p, t: _content_rows("content", k, p, t, limit, overlap, with_text))
+    large = items.select(F.col(key).cast("string").alias("k"), F.col(pos).cast("int").alias("p"), F.col(text).alias("t"), _arrival(items, at)).where(F.length("t") > limit)
+    return _mapped(_once(large, ["k", "p"]), lambda k, p, t: _content_rows("content", k, p, t, limit, overlap, with_text))
 
 
-def step_pieces(items: DataFrame, key: str, steps: str, limit: int = STEPS_LIMIT, overlap: int = TEXT_OVERLAP, with_text: bool = True) -> DataFrame:
+def step_pieces(items: DataFrame, key: str, steps: str, limit: int = STEPS_LIMIT, overlap: int = TEXT_OVERLAP, with_text: bool = True, at: str | None = None) -> DataFrame:
     """Pieces of the lists of steps whose contents sum to more than `limit` characters: columns as `content_pieces`, with
     item_kind `steps`, item_pos -1, first and until as step indexes, and char_from and char_until only where a single step
-    had to be cut. forced: one turn alone is above the limit. Null lists and null steps count as empty."""
+    had to be cut. forced: one turn alone is above the limit. Null lists and null steps count as empty. An item delivered
+    again counts once, the earliest by `at`."""
     s = F.col(steps)
     chars = F.aggregate(F.coalesce(s, F.array().cast(items.schema[steps].dataType)), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.length(x["content"]), F.lit(0)))
-    large = items.select(F.col(key).cast("string").alias("k"), F.transform(s, lambda x: x["role"]).alias("_r"), F.transform(s, lambda x: x["content"]).alias("_c"), chars.alias("_n")).where(F.col("_n") > limit).drop("_n")
-    return _mapped(large, lambda k, r, c: _step_rows(k, r, c, limit, overlap, with_text))
+    large = items.select(F.col(key).cast("string").alias("k"), F.transform(s, lambda x: x["role"]).alias("_r"), F.transform(s, lambda x: x["content"]).alias("_c"), chars.alias("_n"), _arrival(items, at)).where(F.col("_n") > limit).drop("_n")
+    return _mapped(_once(large, ["k"]), lambda k, r, c: _step_rows(k, r, c, limit, overlap, with_text))
 
 
 def pieces(agent_steps: DataFrame, trajectories: DataFrame, with_text: bool = True) -> DataFrame:
-    """The pieces of oversized contents and step lists. A step or trajectory delivered again counts once."""
-    both = content_pieces(agent_steps, "run_id", "pos", "content", with_text=with_text).unionByName(step_pieces(trajectories, "trajectory_id", "steps", with_text=with_text))
-    return both.dropDuplicates(["item_kind", "item_key", "item_pos", "piece_no"])
+    """The pieces of oversized contents and step lists. A step or trajectory delivered again counts once, the earliest by
+    `arrived_at` or `ingested_at`, where there are such columns."""
+    there = lambda df, name: name if name in df.columns else None
+    content = content_pieces(agent_steps, "run_id", "pos", "content", with_text=with_text, at=there(agent_steps, "arrived_at"))
+    return content.unionByName(step_pieces(trajectories, "trajectory_id", "steps", with_text=with_text, at=there(trajectories, "ingested_at")))
