@@ -140,3 +140,21 @@ def test_mix(spark):
     assert sh["absent"].n_used == 0
     assert M.mix_plan(sizes.limit(0), targets).where("short").count() == 0
     assert M.replicate(sizes.limit(0), M.mix_plan(sizes.limit(0), targets)).count() == 0
+
+
+def test_size_of_the_mix_and_its_deviation(spark):
+    n = 6000
+    sizes = spark.range(n).select(F.col("id").alias("doc_key"), F.when(F.col("id") % 3 < 2, "a").otherwise("b").alias("source"), (F.lit(5) + F.col("id") % 20).alias("n_tokens"))
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3), ("none", 0.0, 1), ("gone", 0.1, 1)], "source string, target_share double, max_repeats int")
+    plan = M.mix_plan(sizes, targets, total_tokens=40_000)
+    sh = {r.source: r for r in M.shares(plan, M.replicate(sizes, plan)).collect()}
+    for s in "ab":
+        assert sh[s].wanted == 20_000
+        assert 0 < sh[s].sd_tokens < 1000
+        assert abs(sh[s].used_tokens - sh[s].wanted) < 4 * sh[s].sd_tokens
+    assert {s for s, r in sh.items() if r.short} == {"gone"}
+    assert M.variance_of(M.steps_of(1.0, 1)) == M.variance_of([]) == 0
+    rng = np.random.default_rng(3)
+    for rate, cap in ((0.4, 1), (1.3, 4)):
+        steps = M.steps_of(rate, cap)
+        assert np.var((rng.random(200_000)[:, None] >= np.array(steps)).sum(1)) == pytest.approx(M.variance_of(steps), rel=0.03)

@@ -60,8 +60,7 @@ def p6_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    sizes = mixing.token_sizes(_table(spark, d, "documents"), "doc_id", "text", "source")
-    return mixing.mix_plan(sizes, _table(spark, d, "mix_targets")).where("short").select("source")
+    return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[1].where("short").select("source")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
