@@ -158,3 +158,35 @@ def test_size_of_the_mix_and_its_deviation(spark):
     for rate, cap in ((0.4, 1), (1.3, 4)):
         steps = M.steps_of(rate, cap)
         assert np.var((rng.random(200_000)[:, None] >= np.array(steps)).sum(1)) == pytest.approx(M.variance_of(steps), rel=0.03)
+
+
+def test_flow_within_a_size():
+    rnd = random.Random(5)
+    for _ in range(60):
+        counts = [rnd.randint(1, 40) for _ in range(rnd.randint(1, 12))]
+        want = S.quotas([(1, sum(counts))])[1]
+        sent = S.share_out(counts, want)
+        assert [sum(r) for r in sent] == counts
+        assert [sum(c) for c in zip(*sent)] == want
+        assert all(abs(x - n * w / sum(counts)) < 2 for row, n in zip(sent, counts) for x, w in zip(row, want))
+        blocks = S.in_blocks(counts, want)
+        assert [sum(r) for r in blocks] == counts
+        assert [sum(c) for c in zip(*blocks)] == want
+
+
+def test_profiles_and_sizes_are_exact(spark, monkeypatch):
+    rows = [(f"r{a}-{i}", f'{{"author": "a{a}", "source": "s{a % 90}"}}') for a, n in enumerate([1503, 1501, *[2] * 400]) for i in range(n)]
+    df = spark.createDataFrame(rows, "trajectory_id string, metadata string")
+    for block in (S.BLOCK, 16):
+        monkeypatch.setattr(S, "BLOCK", block)
+        made = S.split(df).collect()
+        assert len(made) == len(rows)
+        share = {s: sum(r.split == s for r in made) / len(rows) for s in S.SHARES}
+        assert all(abs(share[s] - p) < 0.01 for s, p in S.SHARES.items() if p < 0.5)
+        small = [r for r in made if int(r.group_id[1:].split("-")[0]) >= 2]
+        per_label = {}
+        for r in small:
+            per_label.setdefault(r.label, []).append(r.split)
+        assert len(per_label) == 90
+    sizes = S.allocate([(1503, 1, 1), (1501, 2, 1), *((2, x, 4) for x in range(90))])
+    assert sum(sum(v) for v in sizes.values()) == 362
