@@ -125,3 +125,49 @@ def test_lists_anywhere_make_groups(spark):
     }
     authors = nested.pivot(made, "metadata.authors[]", ["name"])
     assert [(r.parent, r.pos, r.name) for r in authors.orderBy("pos").collect()] == [([], 0, "a"), ([], 1, "b")]
+
+
+@settings(max_examples=300, deadline=None)
+@given(JSON, st.sampled_from([None, 1, "\t"]))
+def test_stream_finds_the_leaves_of_the_tree(value, indent):
+    text = json.dumps(value, indent=indent)
+    want = [(p, None if v is None else v if isinstance(v, str) else json.dumps(v)) for p, v in nested.leaves(value)]
+    assert [(p, v) for p, _, v in nested.leaf_triples(text)] == want
+    assert nested.leaf_triples(text[:-1]) is None or isinstance(value, int)
+
+
+@pytest.mark.parametrize("bad", ["[1,]", '{"a":}', "{,}", "[1 2]", "1 2", '{"a" 1}', "[}", "", " ", '"a', "nul", '{"a":1,}', "[,1]", '{"a":1]', "NaN", "[]]", None, '"' + "a" * 50_000, '{"a":"' + "\\n" * 50_000, '["a":1]', '{"a":1 "b":2}', "01", "-"])
+def test_stream_takes_no_incomplete_texts(bad):
+    assert nested.scan(bad) is None
+
+
+def test_last_of_repeated_keys_counts():
+    assert nested.leaf_triples('{"a":{"x":1},"b":2,"a":[3],"c":{"d":1,"d":null}}') == [("b", "number", "2"), ("a[0]", "number", "3"), ("c.d", "null", None)]
+    rows = {g: f for g, _, f in nested.triples('{"record":{"task":"x"},"version":1,"version":2,"record":{"task":"y","task":"z"}}')}
+    assert rows[""]["task"] == "z"
+    assert rows["envelope+"]["value"] == "2"
+
+
+def test_deep_values_are_kept_whole(spark):
+    deep = "[" * 200_000 + "7" + "]" * 200_000
+    rows = {g: f for g, _, f in nested.triples('{"task":"t","metadata":' + deep + ',"extra":1}')}
+    assert rows[""]["metadata"] == deep
+    assert rows["+"]["path"] == "extra"
+
+
+def test_any_schema_is_shredded_by_its_lists(spark):
+    texts = [(1, '{"id":"x","orders":[{"items":[{"sku":1,"tags":["a"]},{"sku":2.50}],"at":{"day":3}},{"items":[]}]}'), (2, "[{}, 5]"), (3, "{"), (None, None)]
+    made = nested.shred(spark.createDataFrame(texts, "k int, t string"), "k", "t", trajectories=False).persist()
+    orders = {(r.record_key, tuple(r.parent), r.pos, r["at.day"]) for r in nested.pivot(made, "orders[]", ["at.day"]).collect()}
+    assert orders == {(1, (), 0, "3"), (1, (), 1, None)}
+    items = {(r.record_key, tuple(r.parent), r.pos, r.sku) for r in nested.pivot(made, "orders[].items[]", ["sku"]).collect()}
+    assert items == {(1, (0,), 0, "1"), (1, (0,), 1, "2.5")}
+    assert {(tuple(r.parent), r.other[""]) for r in nested.pivot(made, "orders[].items[].tags[]", []).collect()} == {((0, 0), "a")}
+    assert {(r.record_key, r.pos) for r in nested.pivot(made, "[]", []).collect()} == {(2, 0), (2, 1)}
+
+
+def test_equal_paths_in_a_call_come_once(spark):
+    text = json.dumps({"steps": [{"tool_calls": {"name": "f", "arguments": {"a.b": 1, "a": {"b": 2}}}}]})
+    made = nested.shred(spark.createDataFrame([(1, text)], "raw_id long, line string"), "raw_id", "line")
+    assert [r.arg_path for r in nested.arguments(made).collect()] == ["a.b", "a.b"]
+    assert [(r.call_pos, r.arg_path) for r in nested.arguments(made, distinct=True).collect()] == [(0, "a.b")]

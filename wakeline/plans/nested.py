@@ -10,8 +10,8 @@ from wakeline.plans.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = nested.arguments(nested.shred(table(spark, d, "trajectory_lines"), "raw_id", "line", nested.ARGUMENT_GROUPS))
-    return found.select(F.col("record_key").alias("raw_id"), "side", "step_pos", "call_pos", "arg_path").distinct()
+    found = nested.arguments(nested.shred(table(spark, d, "trajectory_lines"), "raw_id", "line", nested.ARGUMENT_GROUPS), distinct=True)
+    return found.select(F.col("record_key").alias("raw_id"), "side", "step_pos", "call_pos", "arg_path")  # raw_id is unique
 
 
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +62,7 @@ a AS (SELECT raw_id, side, step_pos, call_pos, coalesce(CASE WHEN json_type(c, '
 v AS (SELECT raw_id, side, step_pos, call_pos, CASE WHEN json_type(a) IN ('OBJECT', 'ARRAY') THEN a WHEN json_type(a) = 'VARCHAR' AND json_valid(a ->> '$') THEN TRY_CAST(a ->> '$' AS JSON) END AS v FROM a),
 w AS (SELECT raw_id, side, step_pos, call_pos, CASE WHEN json_type(v) IN ('OBJECT', 'ARRAY') THEN v ELSE '{{}}'::JSON END AS v FROM v)
 SELECT DISTINCT raw_id, side, step_pos, call_pos, regexp_replace(x.fullkey, '^[$][.]?', '') AS arg_path FROM w, json_tree(w.v) x WHERE x.type NOT IN ('OBJECT', 'ARRAY') OR x.value::varchar IN ('{{}}', '[]')""",
+    "p1_records": f"{_CALLS} SELECT raw_id, r ->> '$.trajectory_id' AS trajectory_id, r ->> '$.task' AS task, r ->> '$.summary' AS summary, r ->> '$.metadata' AS metadata FROM r WHERE json_type(r) = 'OBJECT'",
     "p1_steps": f"{_CALLS} SELECT raw_id, side, step_pos, {_ELEMENT} ->> '$.role' AS role, {_ELEMENT} ->> '$.content' AS content, {_ELEMENT} ->> '$.tool_call_id' AS tool_call_id, {_ELEMENT} ->> '$.name' AS name FROM e",
     "p1_calls": f"{_CALLS} SELECT raw_id, side, step_pos, call_pos, coalesce(c ->> '$.function.name', c ->> '$.name') AS name, c ->> '$.id' AS id FROM c WHERE json_type(c) = 'OBJECT'",
     "p1_further": f"""{_CALLS},
