@@ -268,3 +268,32 @@ def test_recall_against_brute_force():
             found += bool(L.search([" ".join(["a", "b", *passage, "c"])], index))
     assert want > 100
     assert found == want
+
+
+def test_who_cannot_do_a_thing_of_the_run_describes_it():
+    fine = ["I cannot reproduce the failure after the patch; all 42 tests pass.", "We could not find the config, so I patched the loader.", "I do not touch the parser. The fix is in lexer.py.", "We cannot merge until CI is green."]
+    assert [t for t in fine if P.is_refusal(t)] == []
+
+
+def test_likelihood_decides_of_texts_of_several_sentences():
+    ended, seen, counts = Counter(), Counter(), Counter()
+    for t in [EN + "Two tests still fail\n" + EN] * 8 + [EN + "Two tests of the store"] * 2:
+        P.end_counts(t, ended, seen, counts)
+    P.word_counts(counts, ended, seen)
+    assert not P.is_truncated(EN + "Two tests still fail", ended, seen)
+    assert P.is_truncated(EN + "Two tests still", ended, seen)
+    assert P.is_truncated(EN + "Nobody knows", ended, seen)
+
+
+def test_posteriors(model):
+    assert P.posteriors("", model) == pytest.approx([1 / len(P.LANGUAGES)] * len(P.LANGUAGES))
+    assert P.posteriors(ZH, model).argmax() == P.LANGUAGES.index("zh")
+    assert P.other_language(EN * 2, "函数使测试能够通过", model)
+    assert not P.other_language(EN * 2, "`a` 12", model)
+
+
+def test_words_held_at_once_are_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([(f"w{i}x w{i}y w{i}z. The end of it",) for i in range(300)], "r string")
+    whole = {tuple(r) for r in P.end_model(df, "r").collect()}
+    monkeypatch.setattr(P, "HELD", 50)
+    assert {tuple(r) for r in P.end_model(df, "r").collect()} == whole

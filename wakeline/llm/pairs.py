@@ -5,8 +5,10 @@ A response (summary) is flagged with one defect, the first that holds:
 - `empty`: nothing is left once headings, placeholders and markup are taken away;
 - `refusal`: most of it are sentences in which the writer declines, or courtesies around them; quotations don't count;
 - `echo`: nearly all its word shingles are contained in the task or in the assistant contents of the steps;
-- `other_language`: the posteriors of prompt and response under a character n-gram naive Bayes model differ clearly;
-- `truncated`: open code, a cut mark, or a last sentence whose end has a low likelihood under the end-of-text n-gram model.
+- `other_language`: by the posteriors of prompt and response under a character n-gram naive Bayes model, they are hardly in one
+  language (probability below SAME_LANGUAGE);
+- `truncated`: open code, a cut mark, or a last sentence without a mark at its end whose end has a low likelihood under the
+  end-of-text n-gram model; more is asked of it in texts whose other sentences or items are closed by a mark, less of an item.
 
 Language model: trigrams hashed into GRAMS buckets, fitted on at most SAMPLE labelled documents of each language (those
 with the smallest hash of their text); of fixed size, it is what the driver gets and broadcasts. End-of-text model: for word
@@ -26,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.llm.deliveries import arrival, once
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "zh")
 SAMPLE, GRAMS = 300, 1 << 16
-ECHO_SHARE, DECLINE_SHARE, LANGUAGE_MARGIN, END_LIKELIHOOD, ITEM_LIKELIHOOD, LEAST_SEEN = 0.7, 0.4, 5.0, 0.5, 0.1, 3
+ECHO_SHARE, DECLINE_SHARE, SAME_LANGUAGE, END_LIKELIHOOD, STYLED_LIKELIHOOD, ITEM_LIKELIHOOD, LEAST_SEEN = 0.7, 0.4, 0.02, 0.5, 0.6, 0.1, 3
 _CJK = "㐀-鿿豈-﫿぀-ヿ가-힯"
 _WORD = re.compile(rf"[{_CJK}]|[^\W_{_CJK}]+")
 _INVISIBLE = re.compile(r"[​-‏⁠﻿­\x00-\x08]")
@@ -47,10 +51,12 @@ _CLOSED = re.compile(r"(?:[.!?。！？](?:[\"')\]»”*_]|</\w+>)*)\s*$")
 _LABEL = re.compile(r"^[*_#>\s]*(?:summary|resumen|resumo|résumé|zusammenfassung|итог|резюме|摘要|总结)\s*[:：]?[*_]*\s*[:：]?\s*", re.I)
 #: Texts that stand for no text.
 PLACEHOLDERS = frozenset("none null nil nan na n/a n.a todo tbd tba fixme empty placeholder undefined unknown pending blank summary untitled test xxx lorem".split()) | {"no summary", "not available", "not applicable", "no content", "to do", "to be done", "no data"}
+#: What a writer is asked to do with a run, in English; who cannot do anything else (reproduce a failure, merge) describes the run.
+_ANSWERS = "help|assist|comply|answer|respond|summari[sz]\\w*|describ\\w*|provid\\w*|produc\\w*|process|view\\w*|access|share|fulfil\\w*|support|discuss\\w*|recap|engage|continue with (?:this|that|the) request|do (?:that|this|so)|complete (?:this|that|the|your) (?:request|task)"
 #: Ways to decline, by language: the writer speaks of themself.
 DECLINES = re.compile("|".join([
-    r"\b(?:i|we)(?: am|'m| are|'re)? (?:sorry,? (?:but )?)?(?:(?:do|will|must|have to|need to|can|could|would|should|shall) ?)?(?:can ?not|can't|cannot|won't|not able|unable|not|n't|decline|refuse|refrain)\b",
-    r"\bi (?:can|do|will|would|could|must|have to|am going to)(?:n't| not)\b", r"\bi don't have (?:access|permission|the ability)\b", r"\bi (?:must|have to|need to) (?:decline|refuse)\b",
+    rf"\b(?:i|we|i'm|we're)\b(?:\W+\w+(?:'\w+)?){{0,3}}?\W+(?:can ?not|can't|couldn't|won't|wouldn't|not|unable|decline|refuse|refrain)\b(?:\W+(?:be|able|to|from|possibly|really|directly|or|go|further)\b){{0,4}}\W+(?:{_ANSWERS})\b",
+    r"\bsomething (?:that )?(?:i|we) (?:can ?not|can't|won't|may not|am not able to|am unable to) do\b", r"\bi (?:do not|don't) have (?:access|permission|the ability)\b", r"\bi (?:must|have to|need to) (?:decline|refuse)\b",
     r"\bmy (?:guidelines|instructions|policy|policies|rules|programming)\b", r"\bnot (?:be )?(?:appropriate|possible|right|able) for me\b", r"\bas an ai\b",
     r"\bno puedo\b", r"\bno me es posible\b", r"\b(?:debo|tengo que) (?:rechazar|negarme|declinar)\b", r"\bno tengo (?:acceso|permiso)\b", r"\bno (?:podré|estoy autorizad)",
     r"\bnão (?:posso|consigo|poderei)\b", r"\bnão me é possível\b", r"\b(?:preciso|devo|tenho (?:que|de)) (?:recusar|declinar)\b", r"\bnão tenho (?:acesso|permissão)\b",
@@ -97,11 +103,16 @@ def sentences(text: str) -> list[str]:
     return [s.strip() for line in text.split("\n") for s in _SENTENCE.split(_MARK.sub("", line)) if s and s.strip()]
 
 
+#: Numbers, code (a span is " C " here) and paths: of a run, not of a request.
+_OF_A_RUN = re.compile(r"\d|(?<!\S)C(?!\S)|\w[./_]\w|\w\(")
+
+
 def is_refusal(text: str) -> bool:
-    """Mostly declining, or courtesies around it; what is quoted or in code is not the writer's."""
+    """Mostly declining, or courtesies around it; what is quoted or in code is not the writer's, and who tells numbers, code or
+    paths describes the run."""
     own = [s for s in sentences(_LABEL.sub("", _QUOTED.sub(" ", _SPAN.sub(" C ", _FENCED.sub("", plain(text)))))) if words_of(s)]
     size = {i: len(words_of(s)) for i, s in enumerate(own)}
-    declining = {i for i, s in enumerate(own) if DECLINES.search(s.replace("’", "'"))}
+    declining = {i for i, s in enumerate(own) if DECLINES.search(s.replace("’", "'")) and not _OF_A_RUN.search(s)}
     polite = {i for i, s in enumerate(own) if COURTESY.search(s.replace("’", "'"))}
     return bool(declining) and sum(size[i] for i in declining | polite) >= DECLINE_SHARE * sum(size.values())
 
@@ -148,27 +159,26 @@ def fit_languages(rows: list[tuple[str, str]]) -> np.ndarray:
         counts = np.zeros((len(LANGUAGES), GRAMS), np.float64)
         for g, k in kept:
             counts[k] += np.bincount(g, minlength=GRAMS)
-        counts += 0.05
-        return np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32)
+        total = counts.sum(1, keepdims=True)
+        # the same share for trigrams never seen, however much there is of a language: they tell nothing
+        share = counts / np.maximum(total, 1) + 0.05 / max(1.0, total.sum() / max(1, (total > 0).sum()))
+        return np.log(share / share.sum(1, keepdims=True)).T.astype(np.float32)
 
     data = [(g, LANGUAGES.index(lang)) for t, lang in rows if len(g := grams(letters_of(t)))]
     model = fit(data)
     return fit([(g, k) for g, k in data if model[g].sum(0).argmax() == k])
 
 
-def log_likelihood(text: str | None, model: np.ndarray) -> tuple[np.ndarray, int]:
-    """(log-likelihood under each language, number of trigrams)."""
-    g = grams(letters_of(text))
-    return model[g].sum(0, dtype=np.float64), len(g)
+def posteriors(text: str | None, model: np.ndarray) -> np.ndarray:
+    """Probability of each language by naive Bayes with equal priors; equal for a text without letters."""
+    x = model[grams(letters_of(text))].sum(0, dtype=np.float64)
+    x = np.exp(x - x.max())
+    return x / x.sum()
 
 
 def other_language(prompt: str | None, response: str, model: np.ndarray) -> bool:
-    r, n = log_likelihood(response, model)
-    p, m = log_likelihood(prompt, model)
-    if n < 8 or m < 8:
-        return False
-    a, b = int(r.argmax()), int(p.argmax())
-    return a != b and r[a] - r[b] > LANGUAGE_MARGIN and p[b] - p[a] > LANGUAGE_MARGIN / 2
+    """Whether prompt and response are hardly in one language, by the posteriors of both."""
+    return float(posteriors(prompt, model) @ posteriors(response, model)) < SAME_LANGUAGE
 
 
 def tokens_of(sentence: str) -> list[str]:
@@ -188,7 +198,6 @@ def end_contexts(w: list[str], k: int) -> list[int]:
     before = w[k - 1] if k else "^"
     more = w[k - 2] if k > 1 else "^"
     skip = f"{w[k - 5]} {w[k - 3]} {before}" if k > 4 else f"^ {before}"
-    skip = f"{w[k - 5]} {w[k - 3]} {before}" if k > 4 else f"^ {before}"
     return [_key(x) for x in (f"A{start}|{before} {last}", f"B{start}|{before}", f"S{skip}", f"3{more} {before} {last}", f"2{before} {last}", f"1{last}")]
 
 
@@ -254,7 +263,7 @@ def is_truncated(text: str, ended: dict[int, int], seen: dict[int, int]) -> bool
 
 
 ALWAYS = 2.0
-HELD = 300_000  # n-grams that a task counts before it hands them on
+HELD = 300_000  # n-grams and words that a task counts before it hands them on
 
 
 def truncation(text: str) -> tuple[float, list[str]]:
@@ -284,11 +293,9 @@ def truncation(text: str) -> tuple[float, list[str]]:
         return 0.1 if w[-1] == "0" else 0.0, w
     if item:
         items = [x.rstrip() for x in lines[:-1] if _MARK.match(x)]
-        if items and all(_CLOSED.search(x) for x in items):
-            return ALWAYS, []
-        return ITEM_LIKELIHOOD, w
+        return STYLED_LIKELIHOOD if items and all(_CLOSED.search(x) for x in items) else ITEM_LIKELIHOOD, w
     styled = len(pieces) > 1 or any(_CLOSED.search(x) for x in lines[:-1] if not _MARK.match(x))
-    return ALWAYS if styled else END_LIKELIHOOD, w
+    return STYLED_LIKELIHOOD if styled else END_LIKELIHOOD, w
 
 
 def defect_of(task: str | None, contents: list[str | None], response: str | None, model: np.ndarray, ended: dict[int, int], seen: dict[int, int]) -> str | None:
@@ -335,7 +342,7 @@ def end_model(responses: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 end_counts(t, ended, seen, words)
-                if len(seen) > HELD:
+                if len(seen) + len(words) > HELD:
                     yield made()
         if seen:
             yield made()
@@ -344,8 +351,8 @@ def end_model(responses: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("c").agg(F.sum("e").alias("e"), F.sum("n").alias("n")).where((F.col("n") >= LEAST_SEEN) | (F.col("c").bitwiseAND(F.lit(1)) == 1))
 
 
-def defects(pairs: DataFrame, labelled: DataFrame, key: str = "trajectory_id", task: str = "task", steps: str = "steps", response: str = "summary", label_text: str = "text", label: str = "lang") -> DataFrame:
-    """key, defect of every pair that has one. A key delivered again counts once.
+def defects(pairs: DataFrame, labelled: DataFrame, key: str = "trajectory_id", task: str = "task", steps: str = "steps", response: str = "summary", label_text: str = "text", label: str = "lang", at: str = "ingested_at") -> DataFrame:
+    """key, defect of every pair that has one. A key delivered again counts once, the earliest by `at` if there is such a column.
 
     labelled: texts with a language label, from which the language model is fitted. Null tasks and steps count as empty, a
     null key stays null. Without labelled rows or known languages no pair is flagged for its language. Other columns are
@@ -354,7 +361,8 @@ def defects(pairs: DataFrame, labelled: DataFrame, key: str = "trajectory_id", t
     sent = pairs.sparkSession.sparkContext.broadcast(language_model(labelled, label_text, label))
     s = F.col(steps)
     said = F.zip_with(s["role"], s["content"], lambda r, c: F.when(r == "assistant", c))
-    rows = pairs.select(F.col(key).cast("string").alias("k"), F.col(task).alias("t"), F.col(response).alias("r"), F.filter(said, lambda c: c.isNotNull()).alias("c"))
+    first = once(pairs.select(F.col(key).cast("string").alias("k"), F.col(task).alias("t"), F.col(response).alias("r"), F.filter(said, lambda c: c.isNotNull()).alias("c"), arrival(pairs, at)), ["k"])
+    rows = first.select("k", "t", "r", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,7 +379,7 @@ def defects(pairs: DataFrame, labelled: DataFrame, key: str = "trajectory_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64())))], names=["k", "defect", "below", "keys"])
 
     judged = rows.mapInArrow(run, "k string, defect string, below double, keys array<long>")
-    looked = judged.select("k", "defect", "below", "keys", F.explode_outer(F.array_distinct("keys")).alias("c")).join(end_model(pairs, response), "c", "left")
+    looked = judged.select("k", "defect", "below", "keys", F.explode_outer(F.array_distinct("keys")).alias("c")).join(end_model(first, "r"), "c", "left")
     counted = looked.groupBy("k", "defect", "below", "keys").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("c", "e", "n"))).alias("counts"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,4 +394,4 @@ def defects(pairs: DataFrame, labelled: DataFrame, key: str = "trajectory_id", t
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found)], names=[key, "defect"])
 
-    return counted.mapInArrow(decide, f"`{key}` string, defect string").dropDuplicates([key])
+    return counted.mapInArrow(decide, f"`{key}` string, defect string")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wakeline.lineage import stored
+from wakeline.llm.deliveries import arrival, once
 
 TEXT_LIMIT, TEXT_OVERLAP, STEPS_LIMIT = 4000, 200, 12_000
 BLOCK = 6
@@ -216,20 +216,6 @@ def _mapped(df: DataFrame, rows) -> DataFrame:
     return df.mapInArrow(run, SCHEMA)
 
 
-def _once(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows k..., `_at`, ... without those whose key was delivered before, by `_at`, then by their place. Keys and times are
-    shuffled, and joined only for keys that were delivered again; these are stored, so the planner knows how few they are."""
-    placed = rows.withColumn("_no", F.monotonically_increasing_id())
-    again = placed.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct("_at", "_no")).alias("_f")).where("_n > 1")
-    again = stored(again.select(*(F.col(k).alias("_" + k) for k in keys), F.col("_f._no").alias("_first")))
-    same = [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys]
-    return placed.join(again, same, "left").where("_first IS NULL OR _first = _no").drop("_at", "_no", "_first", *("_" + k for k in keys))
-
-
-def _arrival(items: DataFrame, at: str | None):
-    return (F.col(at) if at else F.lit(None)).cast("timestamp").alias("_at")
-
-
 def content_pieces(items: DataFrame, key: str, pos: str, text: str, limit: int = TEXT_LIMIT, overlap: int = TEXT_OVERLAP, with_text: bool = True, at: str | None = None) -> DataFrame:
     """Pieces of the texts above `limit` characters: item_kind `content`, item_key, item_pos, piece_no, first and until
     (character offsets, also as char_from and char_until), n_chars, boundary (kind of the end), forced (the item has more than
@@ -238,8 +224,8 @@ def content_pieces(items: DataFrame, key: str, pos: str, text: str, limit: int =
     Null and empty texts and those within the limit give no rows. An item delivered again counts once, the earliest by `at`.
     Texts go to Python only if they are above the limit. Other columns of `items` are not read.
     """
-    large = items.select(F.col(key).cast("string").alias("k"), F.col(pos).cast("int").alias("p"), F.col(text).alias("t"), _arrival(items, at)).where(F.length("t") > limit)
-    return _mapped(_once(large, ["k", "p"]), lambda k, p, t: _content_rows("content", k, p, t, limit, overlap, with_text))
+    large = items.select(F.col(key).cast("string").alias("k"), F.col(pos).cast("int").alias("p"), F.col(text).alias("t"), arrival(items, at)).where(F.length("t") > limit)
+    return _mapped(once(large, ["k", "p"]), lambda k, p, t: _content_rows("content", k, p, t, limit, overlap, with_text))
 
 
 def step_pieces(items: DataFrame, key: str, steps: str, limit: int = STEPS_LIMIT, overlap: int = TEXT_OVERLAP, with_text: bool = True, at: str | None = None) -> DataFrame:
@@ -249,13 +235,12 @@ def step_pieces(items: DataFrame, key: str, steps: str, limit: int = STEPS_LIMIT
     again counts once, the earliest by `at`."""
     s = F.col(steps)
     chars = F.aggregate(F.coalesce(s, F.array().cast(items.schema[steps].dataType)), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.length(x["content"]), F.lit(0)))
-    large = items.select(F.col(key).cast("string").alias("k"), F.transform(s, lambda x: x["role"]).alias("_r"), F.transform(s, lambda x: x["content"]).alias("_c"), chars.alias("_n"), _arrival(items, at)).where(F.col("_n") > limit).drop("_n")
-    return _mapped(_once(large, ["k"]), lambda k, r, c: _step_rows(k, r, c, limit, overlap, with_text))
+    large = items.select(F.col(key).cast("string").alias("k"), F.transform(s, lambda x: x["role"]).alias("_r"), F.transform(s, lambda x: x["content"]).alias("_c"), chars.alias("_n"), arrival(items, at)).where(F.col("_n") > limit).drop("_n")
+    return _mapped(once(large, ["k"]), lambda k, r, c: _step_rows(k, r, c, limit, overlap, with_text))
 
 
 def pieces(agent_steps: DataFrame, trajectories: DataFrame, with_text: bool = True) -> DataFrame:
     """The pieces of oversized contents and step lists. A step or trajectory delivered again counts once, the earliest by
     `arrived_at` or `ingested_at`, where there are such columns."""
-    there = lambda df, name: name if name in df.columns else None
-    content = content_pieces(agent_steps, "run_id", "pos", "content", with_text=with_text, at=there(agent_steps, "arrived_at"))
-    return content.unionByName(step_pieces(trajectories, "trajectory_id", "steps", with_text=with_text, at=there(trajectories, "ingested_at")))
+    content = content_pieces(agent_steps, "run_id", "pos", "content", with_text=with_text, at="arrived_at")
+    return content.unionByName(step_pieces(trajectories, "trajectory_id", "steps", with_text=with_text, at="ingested_at"))
