@@ -297,3 +297,22 @@ def test_words_held_at_once_are_bounded(spark, monkeypatch):
     whole = {tuple(r) for r in P.end_model(df, "r").collect()}
     monkeypatch.setattr(P, "HELD", 50)
     assert {tuple(r) for r in P.end_model(df, "r").collect()} == whole
+
+
+def test_any_period_is_found():
+    unit = "abcdefghijklmnop 1 abcdefghijklmnop 2 abcdefghijklmnop 3; "  # its first characters come again within it
+    assert Q._repeated(unit * 4, Q._WORD.findall(unit * 4))
+    assert Q.verdict(unit * 4) == "junk"
+
+
+def test_profiles_are_fitted():
+    rows = "\n".join(f"| {i} | name{i} | {i * 37} |" for i in range(12))
+    texts = [EN * 5 + f" It was run {i} that failed." for i in range(60)] + [f"# part {i}\n" + rows + f"\nThe table shows run {i}." for i in range(60)]
+    made = Q.fit_profiles([*texts, None, " ", "word " * 500])
+    assert made.prose["en"] != Q.START.prose["en"]
+    assert made.prose["de"] == Q.START.prose["de"]
+    assert made.structure["table"] != Q.START.structure["table"]
+    assert made.structure["junk"] == Q.START.structure["junk"]
+    assert all(sum(p) == pytest.approx(1) for p in [*made.structure.values(), *made.prose.values()])
+    assert {Q.measures(t, made)[-1] for t in texts[:60]} == {"prose"}
+    assert {Q.measures(t, made)[-1] for t in texts[60:]} == {"table"}
