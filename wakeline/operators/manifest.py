@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: How file names are written.
 BASE = r"^([a-f0-9-]+):0\.json$"
 BRANCH = r"^([a-f0-9-]+):0:\d+:.+\.json$"
-STEP = r"^([a-f0-9-]+:0):(\d+):(after|before|before_init)(?::(\d+))?(?::\d+)?\.json$"
+STEP = r"^([a-f0-9-]+:0):(\d+):(?:(after|before):(\d+)|(before_init))(?::\d+)?\.json$"
 DONE = ("Submitted", "LimitsExceeded")
 
 
@@ -19,7 +20,7 @@ def parse_names(manifest: DataFrame, name: str) -> DataFrame:
     """base_uid, step, kind (after, before, before_init), k of the branch files; other names are left out."""
     n = F.col(name)
     part = lambda i: F.regexp_extract(n, STEP, i)
-    rows = manifest.where(F.regexp_like(n, F.lit(STEP))).select(part(1).alias("base_uid"), part(2).cast("int").alias("step"), part(3).alias("kind"), F.expr(f"try_cast(regexp_extract({name}, '{_sql(STEP)}', 4) AS int)").alias("k"))
+    rows = manifest.where(F.regexp_like(n, F.lit(STEP))).select(part(1).alias("base_uid"), part(2).cast("int").alias("step"), F.concat(part(3), part(5)).alias("kind"), F.expr(f"try_cast(regexp_extract({name}, '{_sql(STEP)}', 4) AS int)").alias("k"))
     return rows.where((F.col("kind") == "before_init") | F.col("k").isNotNull())
 
 

@@ -76,8 +76,8 @@ def _manifest(spark, d):
 
 
 def bases_without_branches(spark, d):
-    rows = _manifest(spark, d)
-    return M.bases_without_branches(rows.where(~F.col("file_name").rlike("^[0-4].*:after:")), "file_name")
+    bases = table(spark, d, "run_records").select(F.concat(F.lower("uid"), F.lit(":0.json")).alias("file_name")).where("file_name IS NOT NULL")
+    return M.bases_without_branches(_manifest(spark, d).unionByName(bases), "file_name")
 
 
 def steps_missing_before(spark, d):
@@ -128,7 +128,7 @@ SELECT trajectory_id, false AS is_prefix, a::int AS n_steps, b::int AS n_continu
     "open_instances": f"{_DONE}, {_IDS} SELECT i.instance_id, coalesce(n_done, 0) AS n_done FROM i LEFT JOIN done ON i.instance_id = done.instance_id WHERE coalesce(n_done, 0) < 2",
     "task_lookup": "SELECT instance_id, arg_max(repo, created_at) AS repo, max_by(coalesce(length(patch), -1), created_at) AS pc, CASE WHEN pc >= 0 THEN pc::int END AS patch_chars FROM task_instances GROUP BY instance_id",
     "exit_status_counts": "SELECT lower(trim(coalesce(exit_status, ''))) AS status, count(*) AS n FROM (SELECT DISTINCT * FROM run_records) GROUP BY status",
-    "bases_without_branches": _MANIFEST + ", k AS (SELECT * FROM m WHERE NOT regexp_matches(file_name, '^[0-4].*:after:')) SELECT DISTINCT regexp_extract(file_name, '^([a-f0-9-]+):0[.]json$', 1) AS uid FROM k WHERE regexp_matches(file_name, '^[a-f0-9-]+:0[.]json$') EXCEPT SELECT regexp_extract(file_name, '^([a-f0-9-]+):0:', 1) FROM k WHERE regexp_matches(file_name, '^[a-f0-9-]+:0:[0-9]+:.+[.]json$')",
+    "bases_without_branches": _MANIFEST + ", k AS (SELECT * FROM m UNION ALL SELECT lower(uid) || ':0.json' FROM run_records) SELECT DISTINCT regexp_extract(file_name, '^([a-f0-9-]+):0[.]json$', 1) AS uid FROM k WHERE regexp_matches(file_name, '^[a-f0-9-]+:0[.]json$') EXCEPT SELECT regexp_extract(file_name, '^([a-f0-9-]+):0:', 1) FROM k WHERE regexp_matches(file_name, '^[a-f0-9-]+:0:[0-9]+:.+[.]json$')",
     "steps_missing_before": _MANIFEST + " SELECT base_uid, step FROM a EXCEPT SELECT base_uid, step FROM b",
     "steps_incomplete_before": _MANIFEST + ", g AS (SELECT base_uid, step, count(*) AS n, string_agg(k, ',' ORDER BY k) AS ks FROM b GROUP BY ALL) SELECT a.base_uid, a.step, coalesce(n, 0) AS n_existing, coalesce(ks, '') AS existing_ks, z.step IS NOT NULL AS has_before_init FROM a LEFT JOIN g ON a.base_uid = g.base_uid AND a.step = g.step LEFT JOIN z ON a.base_uid = z.base_uid AND a.step = z.step WHERE coalesce(n, 0) < 2",
     "image_names": f"""SELECT DISTINCT instance_id, coalesce(image_name, {_IMG.format(iid=_IID, base=_BASE.format(x=_IID, n='6,8'))}) AS image, {_IMG.format(iid=_IID, base=_IID)} AS image_old,
