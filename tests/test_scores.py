@@ -110,3 +110,47 @@ def test_a_registered_query_has_distortion(spark, tmp_path):
 
     made = [registry.QUERIES[n](spark, str(tmp_path)).first() for n in ("distortion", "distortion_shifted") if n in registry.QUERIES]
     assert any(r.distortion != 0 for r in made)
+
+
+def test_diffs_with_escapes_and_several_changes():
+    assert diff.reverse_diff("'@@ -1 +1 @@\\n-é \\\\ a\\n+\\u00fc\\tb'") == "@@ -1 +1 @@\n-ü\tb\n+é \\ a"
+    assert diff.reverse_diff("@@ -1,2 +1,2 @@\n-x\n+y\n-z\n+w") == "@@ -1,2 +1,2 @@\n-y\n+x\n-w\n+z"
+    assert diff.reverse_diff("@@ -1 +1 @@\n-x\n\\ No newline at end of file\n+y") == "@@ -1 +1 @@\n-y\n+x\n\\ No newline at end of file"
+    assert diff.reverse_diff(None) is None
+
+
+def test_command_that_applies_a_patch(spark):
+    r = one(spark, diff.apply_command(F.lit("a\nb")).alias("c"), diff.apply_command(F.lit(None).cast("string")).alias("n"))
+    mark = "PATCH_" + __import__("hashlib").md5(b"a\nb").hexdigest()
+    assert r.c == f"git apply --verbose <<'{mark}'\na\nb\n{mark}"
+    assert r.n is None
+
+
+def test_image_errors(spark):
+    none = F.lit(None).cast("string")
+    r = one(spark, images.image_error(none, F.lit("other")).alias("a"), images.image_error(none, F.lit("SWE-bench")).alias("b"), images.image_error(F.lit("x"), none).alias("c"))
+    assert (r.a, r.b, r.c) == ("Data source: other is not supported", None, None)
+
+
+def test_groups_are_centred_with_nulls(spark):
+    from wakeline.operators import scoring
+
+    df = spark.createDataFrame([("a", 1.0, 9.0), ("a", 3.0, 9.0), ("b", 2.0, 9.0), (None, 1.0, 9.0), (None, 2.0, 9.0)], "g string, r double, advantage double")
+    made = scoring.centred(df, "g", "r")
+    assert sorted((r.g or "", r.r, r.mean_reward, r.advantage) for r in made.collect()) == [("", 1.0, 1.5, -0.5), ("", 2.0, 1.5, 0.5), ("a", 1.0, 2.0, -1.0), ("a", 3.0, 2.0, 1.0), ("b", 2.0, 2.0, 0.0)]
+    assert {r.g for r in scoring.varied_groups(made, "g").collect()} == {"a", None}
+
+
+def test_completions_are_scored(spark):
+    from wakeline.operators import scoring
+
+    top = [{"a": -0.5, "b": -1.0}, {"a": -0.5}, {"z": -1.0}]
+    other = [{"c": -1.0}, {"a": -0.7, "c": -2.0}, {"a": -1.0}]
+    rows = [("x", top, other, 1, 1, 3), (" ", top, other, 1, 1, 3), (None, top, other, 1, 1, 3), ("failed", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "text string, x_top array<map<string,double>>, z_top array<map<string,double>>, n_x_context int, n_z_context int, n_x_full int")
+    got = {r.text: r for r in scoring.score_completion(df, "text").withColumn("d", scoring.distortion(F.col("per_position"))).withColumn("e", scoring.distortion_error(F.col("per_position"))).collect()}
+    assert got["x"].per_position == pytest.approx([0.121306, 0.0], abs=1e-6)
+    assert got["x"].d == pytest.approx(0.060653, abs=1e-6)
+    assert got[" "].per_position == got[None].per_position == []
+    assert got[" "].e == "No completion tokens scored"
+    assert got["failed"].e == "score_completion failed"

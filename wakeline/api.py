@@ -42,8 +42,10 @@ class Trajectories:
     def relabel(self, cut: int | None = None) -> DataFrame:
         return sequence.relabel(self.messages, cut, self.keys)
 
-    def events(self, masked: bool = False, limit: int = 5000) -> DataFrame:
-        output = truncate_middle(F.coalesce(self.content, F.lit("")), limit)
+    def events(self, masked: bool = False, limit: int = 5000, raw_output: Column | str | None = None) -> DataFrame:
+        """raw_output: what tools gave, where it is kept beside the content (such as `extra.raw_output`); it goes before it."""
+        said = F.coalesce(self.content, F.lit(""))
+        output = truncate_middle(said if raw_output is None else F.coalesce(F.col(raw_output) if isinstance(raw_output, str) else raw_output, said), limit)
         return sequence.events(self.messages, self.content, self.calls, output, self.keys, masked)
 
     def validate(self, call_id: str = "tool_call_id") -> DataFrame:

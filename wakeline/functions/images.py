@@ -11,6 +11,7 @@ KINDS = (
     ("swe-bench", "_1776_", "docker.io/swebench/sweb.eval.x86_64.%s:latest"),
     ("swe-smith", "_1776_", "docker.io/jyangballin/swesmith.x86_64.%s:latest"),
 )
+#: An id up to its commit, as short or long as the kinds of names want it.
 BASE_SHORT, BASE_LONG = r"^(.+?\.[a-f0-9]{6,8})", r"^(.+?\.[a-f0-9]{6,})"
 
 
@@ -32,6 +33,14 @@ def image_name(given: Column, instance_id: Column, source: Column, keep_suffix:
     return F.coalesce(given, made)
 
 
+def image_error(given: Column, source: Column) -> Column:
+    """Why there is no name: a source of no kind, and none given; null where there is one."""
+    known = F.lit(False)
+    for kind, _, _ in KINDS:
+        known = known | F.contains(F.lower(source), F.lit(kind))
+    return F.when(given.isNull() & ~F.coalesce(known, F.lit(False)), F.concat(F.lit("Data source: "), F.coalesce(source, F.lit("")), F.lit(" is not supported")))
+
+
 def cached_image_path(instance_id: Column, folder: str, template: str) -> Column:
     """Path of a cached image file; `{base}` in the template stands for the id up to its commit."""
     before, _, after = template.partition("{base}")

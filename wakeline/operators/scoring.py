@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.text import basename, word_count
@@ -55,6 +55,14 @@ def completion_positions(x_top: Column, z_top: Column, n_x_context: Column, n_x_
     return F.slice(x_top, n_x_context + 1, n), F.slice(z_top, n_z_context + 1, n)
 
 
+def score_completion(answers: DataFrame, completion: str) -> DataFrame:
+    """Adds per_position, the divergence at each position of a completion, to answers of log-probabilities (`providers.LOG_PROBS`);
+    no positions for a blank or null completion, null where the answers are null (a request that failed)."""
+    x, z = completion_positions(*(F.col(c) for c in ("x_top", "z_top", "n_x_context", "n_x_full", "n_z_context")))
+    blank = F.trim(F.coalesce(F.col(completion), F.lit(""))) == ""
+    return answers.withColumn("per_position", F.when(blank, F.array().cast("array<double>")).otherwise(kl_per_position(x, z)))
+
+
 def distortion(per_position: Column) -> Column:
     """Mean over all positions; null without positions."""
     n = F.size(per_position)
@@ -78,14 +86,17 @@ def realised_log_ratio(x_log_probs: Column, z_log_probs: Column) -> Column:
 
 
 def centred(df: DataFrame, group: str, reward: str) -> DataFrame:
-    """Adds mean_reward and advantage (reward less the group's mean)."""
-    mean = F.avg(reward).over(Window.partitionBy(group))
-    return df.withColumn("mean_reward", mean).withColumn("advantage", F.col(reward) - F.col("mean_reward"))
+    """Adds mean_reward and advantage (reward less the group's mean). Means are combined before the shuffle and joined, so a hot
+    group is never gathered in one task; a null group is a group."""
+    means = df.groupBy(F.col(group).alias("_g")).agg(F.avg(reward).alias("mean_reward"))
+    joined = df.drop("mean_reward", "advantage").join(means, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    return joined.withColumn("advantage", F.col(reward) - F.col("mean_reward"))
 
 
 def varied_groups(df: DataFrame, group: str, advantage: str = "advantage") -> DataFrame:
     """Drops groups all of whose advantages are 0."""
-    return df.withColumn("_m", F.max(F.abs(F.col(advantage))).over(Window.partitionBy(group))).where("_m > 0").drop("_m")
+    varied = df.groupBy(F.col(group).alias("_g")).agg(F.max(F.abs(F.col(advantage))).alias("_m")).where("_m > 0").select("_g")
+    return df.join(varied, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
 
 
 def batch_rewards(df: DataFrame, batch: str, group: str, reward: str) -> DataFrame:

@@ -25,10 +25,13 @@ def register(spark: SparkSession) -> None:
     class Reader(DataSourceReader):
         def __init__(self, options: dict) -> None:
             self.path, self.bodies = options["path"], str(options.get("bodies", "true")).lower() == "true"
-            self.size = int(options.get("files_per_partition", 1000))
+            self.size, self.only = int(options.get("files_per_partition", 1000)), options.get("only")
 
         def partitions(self) -> list[InputPartition]:
-            names = sorted(n for n in os.listdir(self.path) if os.path.isfile(os.path.join(self.path, n)))
+            if self.only is not None:  # no need to list the folder
+                return [Names([self.only] if os.path.isfile(os.path.join(self.path, self.only)) else [])]
+            with os.scandir(self.path) as entries:
+                names = sorted(e.name for e in entries if e.is_file())
             return [Names(names[i : i + self.size]) for i in range(0, len(names), self.size)] or [Names([])]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -61,4 +64,5 @@ def read_listing(spark: SparkSession, path: str, bodies: bool = True, files_per_
 
 def read_one(spark: SparkSession, path: str, uid: str) -> DataFrame:
     """The base record of a run: the file `<uid>:0.json`."""
-    return read_listing(spark, path).where(f"file_name = '{uid}:0.json'")
+    register(spark)
+    return spark.read.format(FORMAT).option("path", path).option("only", f"{uid}:0.json").load()
