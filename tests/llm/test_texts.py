@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from wakeline.llm import leaks as L
 from wakeline.llm import pairs as P
@@ -316,3 +317,32 @@ def test_profiles_are_fitted():
     assert all(sum(p) == pytest.approx(1) for p in [*made.structure.values(), *made.prose.values()])
     assert {Q.measures(t, made)[-1] for t in texts[:60]} == {"prose"}
     assert {Q.measures(t, made)[-1] for t in texts[60:]} == {"table"}
+
+
+def test_profiles_are_fitted_on_all_documents(spark):
+    rows = "\n".join(f"| {i} | name{i} |" for i in range(9))
+    more = [f"{rows}\n\n{EN * n}" for n in (2, 3)]  # more prose than table
+    few = [f"{rows}\n\n{EN} Run {i}." for i in range(40)]
+    texts = [f"{EN}It was run {i}, and it failed." for i in range(7000)] + few + more + [None, " ", "word " * 500, ZH]
+    fitted = Q.fit_profiles(texts)
+    expected = [Q.measures(t, fitted) for t in texts]
+    assert {m[-1] for m in expected[7040:7042]} == {"table"}
+    assert {Q.verdict(t) for t in more} == {"prose"}  # so they stay where the profiles are fitted on less than 30 of the 40
+    df = spark.createDataFrame(list(enumerate(texts)), "no int, text string")
+    for parts in (3, 7):
+        got = {r[0]: tuple(r[1:]) for r in Q.text_statistics(df.repartition(parts), "no", "text").collect()}
+        assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_fit_of_stored_readings(spark):
+    names = ["parser", "lexer", "token", "scope", "symbol", "buffer", "stream", "socket", "kernel", "module", "branch"]
+    texts = [PROSE[k] * 2 + f"{i}." for k in PROSE for i in range(20)] + ["\n".join(f"{names[j]} {names[(i + j) % 11]}" for j in range(9)) for i in range(40)]
+    whole = Q.fit_profiles(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "no int, text string")
+    made = [Q.fit_stored(Q.readings(rows, "no", "text")) for rows in (df.repartition(5), df.orderBy(F.reverse("text")))]
+    assert made[0] == made[1]
+    assert made[0][:3] == whole[:3]
+    assert whole.bare != Q.START.bare
+    assert whole.prose["de"] != Q.START.prose["de"]
+    for form in Q.FORMS:
+        assert made[0].structure[form] == pytest.approx(whole.structure[form], abs=1e-12)

@@ -6,9 +6,12 @@ character classes is compared with prose profiles of each language, and with pro
 letters, by Jensen-Shannon divergence; the nearest profile gives the block's form. A document's distribution of
 characters over forms is then compared with the structural profiles in the same way and gets the nearest one.
 
-The profiles are fitted on a bounded sample, about SAMPLE documents with small hashes of their keys and never more than twice
-as many: starting from the profiles below, each block and each document goes to the nearest one, and a profile becomes the
-pooled distribution of what went to it. What the sample has fewer than LEAST_WORDS words or LEAST_DOCS documents of keeps its starting profile.
+The profiles are fitted on all documents: starting from the profiles below, each block and each document goes to the nearest
+one, and a profile becomes the pooled distribution of what went to it. What the table has fewer than LEAST_WORDS words or
+LEAST_DOCS documents of keeps its starting profile.
+
+Texts are read once. What the reading leaves of each is stored: its statistics, characters by form, the counts of the few
+blocks whose form hangs on the profiles, and what it adds to the fit. The sums of the fit and then the forms come from that.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log2
 from typing import NamedTuple
 
@@ -24,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.lineage import stored
 from wakeline.names import fresh
 
 PROSE, LIST, TABLE, JUNK = FORMS = ("prose", "list", "table", "junk")
 
-SAMPLE, LEAST_WORDS, LEAST_DOCS = 3000, 300, 30
+LEAST_WORDS, LEAST_DOCS = 300, 30
 
 #: Frequent function words by language.
 FUNCTION_WORDS: dict[str, frozenset[str]] = {
@@ -163,29 +167,50 @@ def _shares(words: list[str], lang: str) -> tuple[int, int, int, str]:
     return sum(map(FUNCTION_WORDS[lang].__contains__, words)), vowels, len(letters), letters
 
 
-def _block_form(lines: list[str], words: list[str], lang: str, profiles: Profiles = START) -> str:
-    """Form of a block of lines without marks in a document of the language: the nearest of its prose profile and the bare-entry
-    and garbled ones."""
+class Block(NamedTuple):
+    """Counts of a block of lines without marks. It may be bare if its lines are at least three, short and mostly without an end;
+    its lines are sparse if they have few words."""
+
+    size: int
+    common: int
+    words: int
+    vowels: int
+    letters: int
+    may_be_bare: bool
+    sparse: bool
+
+
+def _block(lines: list[str], words: list[str], lang: str) -> tuple[str | None, Block]:
+    """The form of a block of lines without marks in a document of the language, if that is the same with any profiles, and the
+    counts that give it otherwise."""
     text = " ".join(lines)
-    if _garbled(text):
-        return JUNK
-    if not words:
-        return JUNK
+    common, vowels, letters, _ = _shares(words, lang)
+    short = sum(map(len, lines)) < 60 * len(lines)
+    may_be_bare = len(lines) >= 3 and short and sum(x.rstrip().endswith(_END) for x in lines) < 0.5 * len(lines)
+    block = Block(sum(map(len, lines)), common, len(words), vowels, letters, may_be_bare, len(words) <= 4 * len(lines))
+    if _garbled(text) or not words:
+        return JUNK, block
     if not text.isascii() and len(_HAS_CJK.findall(text)) > 0.2 * len(words):
-        return _cjk_form(lines, text)
-    common, vowels, n_letters, _ = _shares(words, lang)
-    share, vowels = common / len(words), vowels / max(1, n_letters)
-    mine = _shape(share, vowels)
+        return _cjk_form(lines, text), block
+    share = common / len(words)
     if share < 0.06 and len(_INNER.findall(text)) > 0.08 * len(words) >= 0.8:
-        return JUNK
+        return JUNK, block
+    return None if may_be_bare or _may_be_garbled(block) else PROSE, block
+
+
+def _may_be_garbled(block: Block) -> bool:
+    return block.letters >= 30 and block.vowels / block.letters < 0.29
+
+
+def _block_form(block: Block, lang: str, profiles: Profiles) -> str:
+    """Form of a block that `_block` leaves open: the nearest of the prose profile of the language and the bare-entry and garbled
+    ones."""
+    share, vowels = block.common / block.words, block.vowels / max(1, block.letters)
+    mine = _shape(share, vowels)
     near = {LIST: _jsd(mine, profiles.bare), JUNK: _jsd(mine, profiles.garbled), PROSE: min(_jsd(mine, profiles.prose[lang]), _jsd(mine, _shape(0.22, PROSE_PROFILES[lang][1])))}
-    short = sum(len(x) for x in lines) / len(lines) < 60
-    ended = sum(x.rstrip().endswith(_END) for x in lines) / len(lines)
-    if n_letters >= 30 and near[JUNK] < near[LIST] and near[JUNK] < near[PROSE] and vowels < 0.29:
+    if _may_be_garbled(block) and near[JUNK] < near[LIST] and near[JUNK] < near[PROSE]:
         return JUNK
-    if len(lines) >= 3 and short and ended < 0.5 and (near[LIST] < near[PROSE] or len(words) <= 4 * len(lines) and share < 0.25):
-        return LIST
-    return PROSE
+    return LIST if block.may_be_bare and (near[LIST] < near[PROSE] or block.sparse and share < 0.25) else PROSE
 
 
 def _cells(line: str) -> int:
@@ -244,11 +269,11 @@ def _bears_marks(bare: str, tabular: bool) -> bool:
     return (tabular or _ITEM.match(bare) is not None) and _CODE_LINE.search(bare) is None
 
 
-def _sorted_lines(text: str) -> tuple[dict[str, float], list[list[str]], list[str]]:
+def _sorted_lines(text: str) -> tuple[dict[str, int], list[list[str]], list[str]]:
     """Characters by form of the lines that bear marks, the blocks of lines without, and the lines that are in no block.
     Code and headings count for no form. Lines in a fence count by their marks, unless the fence is marked as code; those
     without marks are taken for code. A fence that is never closed is none, unless most of what follows it is code."""
-    weight = dict.fromkeys(FORMS, 0.0)
+    weight = dict.fromkeys(FORMS, 0)
     lines = text.split("\n")
     rows = [_cells(x) if x.strip() else -1 for x in lines]
     shown = [i for i, r in enumerate(rows) if r >= 0]
@@ -310,90 +335,163 @@ def verdict(text: str | None) -> str:
     return measures(text)[-1]
 
 
-def _nearest(weight: dict[str, float], words: list[str], structure: dict[str, tuple[float, ...]] = STRUCTURE) -> str:
+def _nearest(weight: dict[str, int], n_words: int, structure: dict[str, tuple[float, ...]]) -> str:
     total = sum(weight.values())
     if not total:
-        return PROSE if words else JUNK
+        return PROSE if n_words else JUNK
     mine = tuple(weight[f] / total for f in FORMS)
     return min(FORMS, key=lambda f: (_jsd(mine, structure[f]), FORMS.index(f)))
 
 
-def fit_profiles(texts: list[str | None], start: Profiles = START) -> Profiles:
-    """The profiles that pool what is nearest to each of the starting ones; see the top of this module."""
+class Reading(NamedTuple):
+    """What is kept of a text: statistics, language, characters by form (None if the text is junk whatever its lines are), the
+    blocks that are left open, and for the fit the form, the shares of characters over FORMS and the counts over _POOLED (function
+    words, words, vowels, letters of each) that the starting profiles give, or None."""
+
+    n_words: int
+    mean_word_length: float
+    symbol_ratio: float
+    line_end_share: float
+    common_word_share: float
+    lang: str
+    weight: dict[str, int] | None
+    opened: list[Block]
+    start_form: str | None = None
+    start_shares: tuple[float, ...] | None = None
+    pooled: list[int] | None = None
+
+
+_POOLED = (PROSE, LIST, JUNK)
+
+
+def read(text: str | None, start: Profiles = START) -> Reading:
+    """A text's reading; `start` only decides what it adds to the fit."""
+    if text is None or not text.strip():
+        return Reading(0, 0.0, 0.0, 0.0, 0.0, "en", None, [])
+    weight, blocks, rest = _sorted_lines(text)
+    by_block = [_WORD.findall("\n".join(b).lower()) for b in blocks]
+    words = [w for b in by_block for w in b] + _WORD.findall("\n".join(rest).lower())
+    solid = len("".join(text.split()))
+    letters = sum(map(len, words))
+    lines = [x.rstrip() for x in text.split("\n") if x.strip()]
+    lang, share = common_share(words)
+    stats = len(words), letters / len(words) if words else 0.0, 1 - letters / solid, sum(x.endswith(_END) for x in lines) / len(lines), share
+    if _repeated(text, words):
+        return Reading(*stats, lang, None, [])
+    opened, pooled, started = [], [0] * 4 * len(_POOLED), dict(weight)
+    for b, w in zip(blocks, by_block):
+        form, block = _block(b, w, lang)
+        if form is None:
+            opened.append(block)
+            at_start = _block_form(block, lang, start)
+        else:
+            at_start = form
+            weight[form] += block.size
+        started[at_start] += block.size
+        if w and (text.isascii() or not _HAS_CJK.search("".join(b))):
+            first = 4 * _POOLED.index(at_start)
+            for i, x in enumerate((block.common, block.words, block.vowels, block.letters), first):
+                pooled[i] += x
+    total = sum(started.values())
+    if not total:
+        return Reading(*stats, lang, weight, opened)
+    return Reading(*stats, lang, weight, opened, _nearest(started, len(words), start.structure), tuple(started[f] / total for f in FORMS), pooled if any(pooled) else None)
+
+
+def _form(weight: dict[str, int] | None, opened: Iterable[Block], lang: str, n_words: int, profiles: Profiles) -> str:
+    """The form of a document from its reading."""
+    if weight is None:
+        return JUNK
+    weight = dict(weight)
+    for block in opened:
+        weight[_block_form(block, lang, profiles)] += block.size
+    return _nearest(weight, n_words, profiles.structure)
+
+
+def _pool(sums: Iterable[tuple], start: Profiles) -> Profiles:
+    """The profiles from sums over documents: language, form, number, sums of shares, sums of counts (None where there are none)."""
     pooled: dict[tuple[str, str], list[int]] = {}
-    forms: dict[str, list[tuple[float, ...]]] = {f: [] for f in FORMS}
-    for text in texts:
-        if not text or not text.strip():
+    docs = dict.fromkeys(FORMS, 0)
+    shares = {f: [0.0] * len(FORMS) for f in FORMS}
+    for lang, form, n, share, counts in sums:
+        if form is None:
             continue
-        weight, blocks, rest = _sorted_lines(text)
-        by_block = [_WORD.findall("\n".join(b).lower()) for b in blocks]
-        words = [w for b in by_block for w in b] + _WORD.findall("\n".join(rest).lower())
-        if _repeated(text, words):
-            continue
-        lang, _ = common_share(words)
-        for b, w in zip(blocks, by_block):
-            form = _block_form(b, w, lang, start)
-            weight[form] += sum(map(len, b))
-            if w and not _HAS_CJK.search("".join(b)):
-                common, vowels, letters, _ = _shares(w, lang)
-                mine = pooled.setdefault((form, lang if form == PROSE else ""), [0, 0, 0, 0])
-                for i, x in enumerate((common, len(w), vowels, letters)):
-                    mine[i] += x
-        if total := sum(weight.values()):
-            forms[_nearest(weight, words, start.structure)].append(tuple(weight[f] / total for f in FORMS))
+        docs[form] += n
+        shares[form] = [a + float(b) for a, b in zip(shares[form], share)]
+        for i, f in enumerate(_POOLED):
+            mine = pooled.setdefault((f, lang if f == PROSE else ""), [0, 0, 0, 0])
+            for j, x in enumerate(counts[4 * i : 4 * i + 4] if counts else ()):
+                mine[j] += x or 0
 
     def shape(key: tuple[str, str], other: tuple[float, ...]) -> tuple[float, ...]:
         common, n, vowels, letters = pooled.get(key, (0, 0, 0, 0))
         return _shape(common / n, vowels / letters) if n >= LEAST_WORDS and letters else other
 
-    even = lambda rows: tuple((sum(x) / len(rows) + 0.01) / 1.04 for x in zip(*rows))
     return Profiles(
         {k: shape((PROSE, k), v) for k, v in start.prose.items()}, shape((LIST, ""), start.bare), shape((JUNK, ""), start.garbled),
-        {f: even(rows) if len(rows := forms[f]) >= LEAST_DOCS else start.structure[f] for f in FORMS},
+        {f: tuple((x / docs[f] + 0.01) / 1.04 for x in shares[f]) if docs[f] >= LEAST_DOCS else start.structure[f] for f in FORMS},
     )
 
 
+def fit_profiles(texts: Iterable[str | None], start: Profiles = START) -> Profiles:
+    """The profiles that pool what is nearest to each of the starting ones; see the top of this module."""
+    return _pool(((r.lang, r.start_form, 1, r.start_shares, r.pooled) for r in (read(t, start) for t in texts)), start)
+
+
+def fit_stored(made: DataFrame) -> Profiles:
+    """`fit_profiles` from a table of readings. Its sums are exact, so the order of the rows makes no difference."""
+    each = lambda name, n, kind: F.array(*(F.sum(F.col(name)[i].cast(kind)) for i in range(n)))
+    by = made.where("start_form IS NOT NULL").groupBy("lang", "start_form")
+    sums = by.agg(F.count("*"), each("start_shares", len(FORMS), "decimal(20,18)"), each("pooled", 4 * len(_POOLED), "long"))
+    return _pool(sorted((tuple(r) for r in sums.collect()), key=lambda r: r[:2]), START)
+
+
 _STATS = [("n_words", pa.int64(), "long"), ("mean_word_length", pa.float64(), "double"), ("symbol_ratio", pa.float64(), "double"), ("line_end_share", pa.float64(), "double"), ("common_word_share", pa.float64(), "double"), ("form", pa.string(), "string")]
+#: Columns of stored readings after the statistics; characters by form are in the order of FORMS, open blocks one after the other.
+_KEPT = [("lang", pa.string(), "string"), ("weight", pa.list_(pa.int64()), "array<long>"), ("opened", pa.list_(pa.int32()), "array<int>"), ("start_form", pa.string(), "string"), ("start_shares", pa.list_(pa.float64()), "array<double>"), ("pooled", pa.list_(pa.int64()), "array<long>")]
 
 
 def measures(text: str | None, profiles: Profiles = START) -> tuple[int, float, float, float, float, str]:
     """Word count, mean word length, symbol ratio, share of lines that end in punctuation, share of common words, form."""
-    if text is None or not text.strip():
-        return 0, 0.0, 0.0, 0.0, 0.0, JUNK
-    weight, blocks, rest = _sorted_lines(text)
-    by_block = [_WORD.findall("\n".join(b).lower()) for b in blocks]
-    words = [w for b in by_block for w in b] + _WORD.findall("\n".join(rest).lower())
-    solid = len("".join(text.split()))
-    letters = sum(map(len, words))
-    lines = [x.rstrip() for x in text.split("\n") if x.strip()]
-    lang, share = common_share(words)
-    if _repeated(text, words):
-        form = JUNK
-    else:
-        for b, w in zip(blocks, by_block):
-            weight[_block_form(b, w, lang, profiles)] += sum(map(len, b))
-        form = _nearest(weight, words, profiles.structure)
-    return len(words), letters / len(words) if words else 0.0, 1 - letters / solid, sum(x.endswith(_END) for x in lines) / len(lines), share, form
+    r = read(text)
+    return *r[:5], _form(r.weight, r.opened, r.lang, r.n_words, profiles)
+
 
+def readings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The key as `k` and the reading of each text."""
+    columns = [*_STATS[:-1], *_KEPT]
+    schema = ", ".join([f"k {docs.schema[key].dataType.simpleString()}", *(f"{n} {t}" for n, _, t in columns)])
 
-def text_statistics(docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(*r[:6], None if r.weight is None else [r.weight[f] for f in FORMS], [int(x) for b in r.opened for x in b], *r[8:]) for r in map(read, batch.column(1).to_pylist())]
+            if made:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t, _) in zip(zip(*made), columns))], names=["k", *(n for n, _, _ in columns)])
+
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
+
+
+def text_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Key, n_words (a CJK character is a word), mean_word_length, symbol_ratio (share of characters other than letters,
     digits and white space), line_end_share, common_word_share (in the language where it is largest) and form.
 
     One row per row of `docs`. Null and blank texts have zeros and the form junk. A key named like a statistic makes the
-    statistic's name get an underscore before it. Only the two columns are read; nothing is shuffled.
+    statistic's name get an underscore before it. Only the two columns are read, once; only sums by language and form are
+    shuffled and reach the driver.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    share = sample / max(1, docs.count())
-    chosen = rows.where(F.shiftrightunsigned(F.xxhash64("k"), 11) / F.lit(float(1 << 53)) < share).limit(2 * sample)
-    profiles = tuple(fit_profiles([r.t for r in chosen.collect()]))  # a plain tuple travels without this package
+    made = stored(readings(docs, key, text))
+    profiles = tuple(fit_stored(made))  # a plain tuple travels without this package
     names = [key, *fresh([key], *(n for n, _, _ in _STATS))]
     schema = ", ".join([f"`{key}` {docs.schema[key].dataType.simpleString()}", *(f"`{n}` {t}" for n, (_, _, t) in zip(names[1:], _STATS))])
+    width = len(Block._fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Profiles(*profiles)
         for batch in batches:
-            made = [measures(t, Profiles(*profiles)) for t in batch.column(1).to_pylist()]
-            if made:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t, _) in zip(zip(*made), _STATS))], names=names)
+            forms = []
+            for n_words, lang, weight, opened in zip(*(batch.column(i).to_pylist() for i in (1, 6, 7, 8))):
+                blocks = (Block(*opened[i : i + width]) for i in range(0, len(opened), width))
+                forms.append(_form(weight and dict(zip(FORMS, weight)), blocks, lang, n_words, fitted))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(forms, pa.string())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return made.select("k", *(n for n, _, _ in _STATS[:-1]), "lang", "weight", "opened").mapInArrow(run, schema)
